@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, new_path, written
+from .common import batches, count_in, new_path, written
 from .encode import encoder
 
 MAX_BITS = 16
 #: Ids after which a block is closed, and ids between two stored bit offsets.
 BLOCK_IDS, EVERY = 1 << 19, 128
+#: Files whose starts are broadcast at most.
+SMALL = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -208,6 +210,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCK_DDL).parquet(f"{path}/blocks")
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n_ids"))  # one row a file
     base = files.select("file", (F.sum("n_ids").over(W.orderBy("file")) - F.col("n_ids")).alias("base"))
+    base = F.broadcast(base) if count_in(files, SMALL) else base  # else the ids would be shuffled for one number a file
 
     def run(frames):
         for b in frames:
