@@ -166,6 +166,7 @@ def mapped_classes(labelled: DataFrame, class_map: DataFrame, key: str, targets:
     """
     names = F.array_sort(F.array_distinct(F.transform("_names", lambda s: F.lower(F.trim(s)))))
     once = class_map.groupBy(key).agg(F.count("*").alias("_n"), *(F.first(t).alias(t) for t in targets))
-    once = once.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("class map holds a key twice: "), F.col(key)))).otherwise(F.col("_n")))
+    twice = F.raise_error(F.concat(F.lit("class map holds a key twice: "), F.col(key))).cast("string")
+    once = once.withColumns({t: F.when(F.col("_n") > 1, twice).otherwise(F.col(t).cast("string")) for t in targets})
     rows = labelled.withColumn("_key", F.array_join(names, "-")).join(once.withColumnRenamed(key, "_key"), "_key", "left")
     return rows.withColumns({t: F.coalesce(t, F.lit(UNKNOWN)) for t in targets}).drop("_key", "_n")

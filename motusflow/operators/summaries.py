@@ -67,7 +67,7 @@ def extracted_sessions(rows: DataFrame, keys: Sequence[str] = ("pid", "sid"), or
 def file_summary(files: DataFrame) -> DataFrame:
     """A row a file (columns path, length, content as text): size, lines, validity. Lines include the header."""
     p = F.col("path")
-    lines = F.size(F.split(F.rtrim(F.col("content")), "\n"))
+    lines = F.size(F.split("content", "\n")) - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
     header = F.element_at(F.split("content", "\n"), 1)
     return files.select(
         paths.participant(p).alias("pid"),

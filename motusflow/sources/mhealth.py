@@ -36,7 +36,7 @@ def read_annotations(spark: SparkSession, path: str, glob: str = "*.annotation.c
 def read_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """path, length, content of every file, as text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return raw.select("path", "length", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select("path", "length", F.decode("content", "UTF-8").alias("content"))
 
 
 def locations(files: DataFrame, location_pattern: str, participant_pattern: str) -> DataFrame:
