@@ -143,13 +143,13 @@ def _pair(row: dict, axes: np.ndarray, wide: bool, threshold: float) -> list[tup
                 continue
             rows, cols, hit = got[0] + p, got[1] + q, got[2]
             twice = same and p == q  # the tile holds each link in both directions, and each vector beside itself
-            if twice:
-                hit &= rows[:, None] != cols[None, :]
-            of_row, of_col = _labels(hit)
-            u = np.flatnonzero(of_row < len(rows))
+            self_ = rows[:, None] == cols[None, :] if twice else False
+            of_row, of_col = _labels(hit | self_)  # beside itself, a vector's row and column are one
+            hit &= ~self_ if twice else True
+            u = np.flatnonzero(hit.any(1))
             out.append((ia[rows[u]], hit[u] @ wz[cols], ia[rows[of_row[u]]]))
             if not twice:
-                v = np.flatnonzero(of_col < len(rows))
+                v = np.flatnonzero(hit.any(0))
                 out.append((iz[cols[v]], wa[rows] @ hit[:, v], ia[rows[of_col[v]]]))
     return out
 
