@@ -34,8 +34,11 @@ def spine(sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS,
     return rows.select(*keys, "window", start.alias("start_ms"), (start + size).alias("stop_ms"))
 
 
-def assigned(points: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS, step: int | None = None, time: str = "t_ms") -> DataFrame:
-    """Every point once for each window that holds it (start <= time < stop), with ``window``."""
+def assigned(points: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS, step: int | None = None, time: str = "t_ms", hour_truncation: bool = False) -> DataFrame:
+    """Every point once for each window that holds it (start <= time < stop), with ``window``.
+
+    With ``hour_truncation``, as when each hourly file is cut before its windows, a window sees only samples of the hour it starts in.
+    """
     step = step or size
     rows = points.join(sessions.withColumn("_n", _count(size, step)), list(keys))
     since = F.col(time) - F.col("session_start")
@@ -46,6 +49,9 @@ def assigned(points: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS,
         low = F.greatest(F.ceil((since - size + 1) / step), F.lit(0)).cast("long")
         rows = rows.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
         rows = rows.withColumn("window", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    if hour_truncation:
+        hour = lambda c: F.floor(c / 3_600_000)
+        rows = rows.filter(hour(F.col(time)) == hour(F.col("session_start") + F.col("window") * step))
     return rows.drop("session_start", "session_stop", "_n")
 
 

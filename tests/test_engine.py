@@ -233,3 +233,32 @@ def test_entry_works_without_the_llm_folder(spark):
     import __spark_entry__
 
     assert "tumbling_stats" in __spark_entry__.queries() and __spark_entry__.entry(spark).columns[0] == "pid"
+
+
+def test_hours_cut_windows(spark):
+    from motusflow.plans.features import feature_set
+
+    t = list(range(3_590_000, 3_620_000, 50))
+    p = points(spark, t, [(1, 0, i % 7 / 10) for i in range(len(t))])
+    rate = features.sampling_rate(p, ["pid", "sid"])
+    whole = {r["window"]: r["mean_vm"] for r in feature_set(p, rate, 80.0).collect()}
+    cut = {r["window"]: r["mean_vm"] for r in feature_set(p, rate, 80.0, hour_truncation=True).collect()}
+    assert len(whole) == len(cut) == 2 and whole[0] != cut[0] and whole[1] == cut[1]
+    anew = feature_set(p, rate, 80.0, anchor="hour")
+    assert [(r["hour_ms"], r["start_ms"]) for r in anew.collect()] == [(3_600_000, 3_600_000)]
+
+
+def test_command_line(spark, tmp_path):
+    from motusflow import cli
+
+    folder = tmp_path / "P1" / "MasterSynced" / "2016" / "03" / "02" / "10"
+    folder.mkdir(parents=True)
+    lines = "".join(f"2016-03-02 10:00:{s:02d}.{ms:03d},0.1,0.2,{1 + ms / 1000}\n" for s in range(30) for ms in range(0, 1000, 50))
+    (folder / "Acti-Acc-NA.TAS1-Acc.2016-03-02-10-00-00-000-M0500.sensor.csv").write_text("HEADER_TIME_STAMP,X,Y,Z\n" + lines)
+    (folder / "Acti-Act-NA.ANN1-Act.2016-03-02-10-00-00-000-M0500.annotation.csv").write_text("HEADER_TIME_STAMP,START_TIME,STOP_TIME,LABEL_NAME\n2016-03-02 10:00:00.000,2016-03-02 10:00:00.000,2016-03-02 10:00:30.000,Walking\n")
+    root = str(tmp_path / "P1")
+    assert cli.main(["sampling-rate", root, "--out", str(tmp_path / "r")], spark).first()["rate"] == 20
+    assert cli.main(["features", root, "--high-cutoff", "5", "--out", str(tmp_path / "f")], spark).count() == 2
+    assert {r["activity"] for r in cli.main(["classes", root, "--out", str(tmp_path / "c")], spark).collect()} == {"self-paced walking"}
+    assert cli.main(["summary", root, "--out", str(tmp_path / "s")], spark).count() == 2
+    assert cli.main(["describe", root, "--method", "annotation", "--out", str(tmp_path / "d")], spark).first()["duration_in_seconds"] == 30
