@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--model")
     out.add_argument("--name", default="MDCAS", choices=sorted(models.CATALOGUE))
     out.add_argument("--location-pattern", default=r"_([a-z]+)")
-    out.add_argument("--pid-pattern", default=r"(SPADES_\d+)")
+    out.add_argument("--pid-pattern", default=r"([A-Za-z]+_[0-9]+)")
     return out
 
 

@@ -88,7 +88,7 @@ FIXES_SQL = """fix AS (SELECT pid, count(*) AS n, any_value(x_code) AS x_code, a
     ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 2) % 6 + 1] AS y_code, ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 5) % 6 + 1] AS z_code FROM nation WHERE n_nationkey < 6) GROUP BY pid HAVING count(*) = 1)"""
 _TURN = lambda c, a: f"CASE {c} WHEN 'X' THEN x WHEN '-X' THEN -x WHEN 'Y' THEN y WHEN '-Y' THEN -y WHEN 'Z' THEN z WHEN '-Z' THEN -z ELSE {a} END"
 
-FILE_SQL = """files AS (SELECT page_id, 'SPADES_' || CAST(page_id % 9 AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '/Derived/set' || CAST(page_id % 2 AS VARCHAR) ELSE '/MasterSynced' END
+FILE_SQL = """files AS (SELECT page_id, 'STUDY_' || CAST(page_id % 9 AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '/Derived/set' || CAST(page_id % 2 AS VARCHAR) ELSE '/MasterSynced' END
   || strftime(TIMESTAMP '2016-03-02 22:00:00' + to_hours(CAST(page_id AS BIGINT)), '/%Y/%m/%d/%H/') || CASE WHEN page_id % 5 = 0 THEN 'Actigraph' ELSE 'ActigraphGT9X-AccelerationCalibrated-NA' END || '.tas' || CAST(page_id % 4 AS VARCHAR) || '-AccelerationCalibrated.'
   || strftime(TIMESTAMP '2016-03-02 22:00:00' + to_hours(CAST(page_id AS BIGINT)), '%Y-%m-%d-%H-00-00-000') || '-M0500.' || CASE page_id % 4 WHEN 0 THEN 'annotation' ELSE 'sensor' END || '.csv' AS file FROM pages)"""
 
@@ -100,7 +100,7 @@ def _files(spark, sf):
     ts = F.lit("2016-03-02 22:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=i.cast("int"))
     kind = F.when(i % 3 == 0, F.concat(F.lit("/Derived/set"), (i % 2).cast("string"))).otherwise("/MasterSynced")
     name = F.when(i % 5 == 0, "Actigraph").otherwise("ActigraphGT9X-AccelerationCalibrated-NA")
-    return p.select("page_id", F.concat(F.lit("SPADES_"), (i % 9).cast("string"), kind, F.date_format(ts, "/yyyy/MM/dd/HH/"), name, F.lit(".tas"), (i % 4).cast("string"), F.lit("-AccelerationCalibrated."), F.date_format(ts, "yyyy-MM-dd-HH-'00-00-000'"), F.lit("-M0500."), F.when(i % 4 == 0, "annotation").otherwise("sensor"), F.lit(".csv")).alias("file"))
+    return p.select("page_id", F.concat(F.lit("STUDY_"), (i % 9).cast("string"), kind, F.date_format(ts, "/yyyy/MM/dd/HH/"), name, F.lit(".tas"), (i % 4).cast("string"), F.lit("-AccelerationCalibrated."), F.date_format(ts, "yyyy-MM-dd-HH-'00-00-000'"), F.lit("-M0500."), F.when(i % 4 == 0, "annotation").otherwise("sensor"), F.lit(".csv")).alias("file"))
 
 
 # ---------------------------------------------------------------- scans, paths, times

@@ -113,14 +113,14 @@ def test_orientation_fix_needs_exactly_one_row(spark):
 
 
 def test_paths(spark):
-    name = "SPADES_33/MasterSynced/2016/02/29/23/ActigraphGT9X-AccelerationCalibrated-NA.tas1E-AccelerationCalibrated.2016-02-29-23-00-00-000-M0500.sensor.csv"
+    name = "STUDY_33/MasterSynced/2016/02/29/23/ActigraphGT9X-AccelerationCalibrated-NA.tas1E-AccelerationCalibrated.2016-02-29-23-00-00-000-M0500.sensor.csv"
     df = spark.createDataFrame([(name,)], "p string")
     p = F.col("p")
     got = df.select(paths.file_type(p), paths.file_date(p), paths.file_hour(p), paths.file_id(p), paths.sensor_type(p), paths.data_type(p), paths.participant(p), paths.valid_name(p), paths.valid_folder(p)).first()
-    assert tuple(got) == ("sensor", "2016-02-29", "23", "TAS1E", "ActigraphGT9X", "AccelerationCalibrated", "SPADES_33", "True", "True")
+    assert tuple(got) == ("sensor", "2016-02-29", "23", "TAS1E", "ActigraphGT9X", "AccelerationCalibrated", "STUDY_33", "True", "True")
     later = df.select(paths.adjacent(p, 1)).first()[0]
     assert "/2016/03/01/00/" in later and ".2016-03-01-00-00-00-000-" in later
-    assert df.select(paths.output_path(p, "Feature", new_type="feature")).first()[0].startswith("SPADES_33/Derived/Feature/2016")
+    assert df.select(paths.output_path(p, "Feature", new_type="feature")).first()[0].startswith("STUDY_33/Derived/Feature/2016")
 
 
 def test_times(spark):
