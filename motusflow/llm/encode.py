@@ -17,7 +17,7 @@ import numpy as np
 from .pieces import chunks, cut
 
 #: Entries of each of the cache's two generations.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_chars() -> dict[int, str]:
