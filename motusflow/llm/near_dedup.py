@@ -4,10 +4,10 @@
 2. A weight for each shingle: its count times an inverse document frequency between 1 and 2, so that no shared shingle is
    worth less than half of a rare one.
 3. SAMPLES consistent weighted samples a document; equal texts are folded into one class by content first.
-4. Bands of samples give buckets. Every member is compared with its bucket's first member (a star, never all pairs); links
-   found make components. Only buckets that still hold several components are looked at again, across components, in blocks
-   of bounded size, so that no link between different texts is lost.
-5. A candidate counts if the weighted Jaccard similarity of the whole texts, computed exactly, reaches the threshold.
+4. Bands of samples give buckets. The members of all buckets with the same first member form a group, so that texts which share
+   several bands meet once. Members without a group mate of similar signature leave it; no pairs are listed.
+5. The others' whole texts meet in their group, in blocks of bounded size. The weighted Jaccard similarity is computed exactly,
+   one text against all of other components at a time; a group returns fewer links than it has members.
 
 A pair of similarity 0.8 shares no band with a probability of about (1 - 0.8 ** 4) ** 16 = 0.0002.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, count_in, written
 from .graph import components
 from .shingles import mixed, shingles
 
@@ -34,8 +34,8 @@ SAMPLES, ROWS = 64, 4
 #: Share of equal samples below which a candidate is not compared in full: a pair at the threshold falls below with p < 1e-6.
 ESTIMATE = 0.55
 DF_BITS, POOL_BITS, SLICES = 20, 16, 64
-#: Members of a block of a bucket that is searched across components.
-BLOCK = 2048
+#: Members of a block of a group, and rows that are broadcast at most.
+BLOCK, SMALL = 2048, 1_000_000
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -141,78 +141,106 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, content binary, sig binary")
 
 
-def _estimated(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose signatures agree often enough."""
+def _blocked(pairs: DataFrame) -> DataFrame:
+    """Groups (u) of members (v) dealt for comparison: ``low``, ``high``, ``mine``.
 
-    def run(frames):
-        for b in frames:
-            if b.num_rows:
-                a, z = (np.frombuffer(b"".join(b.column(x).to_pylist()), "<u4").reshape(b.num_rows, -1) for x in ("sig_u", "sig_v"))
-                keep = pa.array((a == z).mean(1) >= ESTIMATE)
-                yield pa.RecordBatch.from_arrays([b.column(x).filter(keep) for x in ("u", "v")], names=["u", "v"])
+    A group of over BLOCK members is dealt into blocks by hash, and each pair of blocks is compared by itself.
+    """
+    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = pairs.join(sizes, "u").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    low, high = F.least("mine", "_other").alias("low"), F.greatest("mine", "_other").alias("high")
+    return dealt.select("u", low, high, "mine", *(c for c in pairs.columns if c != "u"))
 
-    return pairs.mapInArrow(run, "u long, v long")
 
+def _runs(frames, *columns: str):
+    """The rows of each (u, low, high) of sorted batches, as lists of columns."""
+    key, held = None, []
+    for b in frames:
+        for u, low, high, *row in zip(*(b.column(x).to_pylist() for x in ("u", "low", "high", *columns)), strict=True):
+            if (u, low, high) != key:
+                if len(held) > 1:
+                    yield key, list(zip(*held, strict=True))
+                key, held = (u, low, high), []
+            held.append(row)
+    if len(held) > 1:
+        yield key, list(zip(*held, strict=True))
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Pairs (u, v) of at least the threshold by the whole texts. ``pairs`` is a written table."""
-    need = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = docs.join(need, "doc_id", "left_semi")
-    t = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    t = t.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
 
-    def run(frames):
-        held: dict[int, tuple] = {}
-        for b in batches(batches(frames, column="text_u"), column="text_v"):
-            u, v = b.column("u").to_pylist(), b.column("v").to_pylist()
-            new = {x: t for x, t in zip(u, b.column("text_u").to_pylist(), strict=True) if x not in held} | {x: t for x, t in zip(v, b.column("text_v").to_pylist(), strict=True)}
-            if len(held) > 500:
-                held = {x: held[x] for x in u if x in held}
-            held |= {x: weighted(s, idf.value) for x, s in zip(new, shingles(list(new.values())), strict=True)}
-            keep = pa.array([weighted_jaccard(held[x], held[y]) >= threshold for x, y in zip(u, v, strict=True)], pa.bool_())
-            held = {x: held[x] for x in set(u)}
-            yield pa.RecordBatch.from_arrays([b.column(x).filter(keep) for x in ("u", "v")], names=["u", "v"])
+def _sorted(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high")
 
-    return t.mapInArrow(run, "u long, v long")
 
+def _with_company(groups: DataFrame) -> DataFrame:
+    """Members (u, v) that have, in their group, another member whose signature agrees often enough. groups: u, v, sig."""
 
-def _across(left: DataFrame) -> DataFrame:
-    """Pairs within a bucket but across components whose signatures agree often enough.
-
-    ``left``: band, rep, component, sig, and the number of members of the bucket. A bucket of over BLOCK members is dealt into
-    blocks by hash, and each pair of blocks is compared by itself.
+    def run(frames):
+        for key, (mine, v, sig) in _runs(frames, "mine", "v", "sig"):
+            sig = np.frombuffer(b"".join(sig), "<u4").reshape(len(v), -1)
+            mine = np.array(mine)
+            keep = np.zeros(len(v), bool)
+            for i in range(0, len(v), 16):
+                near = (sig[i : i + 16, None, :] == sig[None, :, :]).mean(2) >= ESTIMATE
+                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+                if key[1] != key[2]:
+                    near &= mine[i : i + 16, None] != mine[None, :]
+                keep[i : i + 16] = near.any(1)
+            kept = np.array(v, np.int64)[keep]
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), key[0], np.int64)), pa.array(kept)], names=["u", "v"])
+
+    return _sorted(_blocked(groups)).mapInArrow(run, "u long, v long").distinct()
+
+
+def linked(weights: list[tuple[np.ndarray, np.ndarray]], first: int, threshold: float, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of the threshold or more that connect all that such pairs connect; fewer pairs than there are texts.
+
+    One text at a time, ``first`` before the others, is compared exactly with all texts of other components at once. With
+    ``apart`` only texts of different values are compared.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component", "sig")
+    n = len(weights)
+    sizes = np.array([len(s) for s, _ in weights])
+    starts = np.cumsum(sizes) - sizes
+    _, place = np.unique(np.concatenate([s for s, _ in weights]), return_inverse=True)
+    w = np.concatenate([x for _, x in weights]).astype(np.float64)
+    total = np.add.reduceat(w, starts)
+    own, label, out = np.zeros(int(place.max()) + 1), np.arange(n), []
+    for b in [first, *(i for i in range(n) if i != first)]:
+        other = (label != label[b]) & (np.minimum(total, total[b]) >= (threshold - 1e-9) * np.maximum(total, total[b]))
+        if apart is not None:
+            other &= apart != apart[b]
+        if not other.any():
+            continue
+        mine = slice(starts[b], starts[b] + sizes[b])
+        own[place[mine]] = w[mine]
+        both = np.add.reduceat(np.minimum(w, own[place]), starts)
+        own[place[mine]] = 0
+        hits = np.flatnonzero(other & (both >= threshold * (total + total[b] - both)))
+        for a in hits.tolist():
+            if label[a] != label[b]:
+                out.append((b, a))
+                label[label == label[a]] = label[b]
+    return out
+
+
+def _links(groups: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (u, v) within groups by the whole texts. ``groups`` (u, v) is a written table."""
+    dealt = _blocked(groups)
+    dealt = F.broadcast(dealt) if count_in(groups, SMALL) else dealt  # then only texts that are needed are shuffled
+    rows = dealt.join(docs.select(F.col("doc_id").alias("v"), "text"), "v").select("u", "low", "high", "mine", "v", "text")
 
     def run(frames):
-        key, held = None, []
-
-        def out():
-            rep, comp, mine = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
-            sig = np.frombuffer(b"".join(h[3] for h in held), "<u4").reshape(len(held), -1)
-            u, v = [], []
-            for i in range(len(held)):
-                j = np.flatnonzero((comp != comp[i]) & (rep > rep[i]) & ((mine != mine[i]) | (key[1] == key[2])))
-                if len(j):
-                    j = j[(sig[j] == sig[i]).mean(1) >= ESTIMATE]
-                    u += [int(rep[i])] * len(j)
-                    v += rep[j].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for b in frames:
-            for band, low, high, *row in zip(*(b.column(x).to_pylist() for x in ("band", "low", "high", "rep", "component", "mine", "sig")), strict=True):
-                if (band, low, high) != key:
-                    if len(held) > 1:
-                        yield out()
-                    key, held = (band, low, high), []
-                held.append(row)
-        if len(held) > 1:
-            yield out()
+        for key, (mine, v, text) in _runs(frames, "mine", "v", "text"):
+            found = [weighted(s, idf.value) for s in shingles(list(text))]
+            some = [i for i, f in enumerate(found) if len(f[0])]
+            if len(some) < 2:
+                continue
+            first = next((k for k, i in enumerate(some) if v[i] == key[0]), 0)
+            apart = np.array([mine[i] for i in some]) if key[1] != key[2] else None
+            pairs = [(v[some[a]], v[some[b]]) for a, b in linked([found[i] for i in some], first, threshold, apart)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["u", "v"])
 
-    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(run, "u long, v long").distinct()
+    return _sorted(rows).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,20 +261,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], names=["band", "rep"])
 
     bands = written(own.mapInArrow(banded, "band long, rep long"), "bands")
-    leaders = written(bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "leaders")
-    star = bands.join(leaders, "band").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    sig_u, sig_v = own.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), own.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v"))
-    near = written(_estimated(star.join(sig_u, "u").join(sig_v, "v").select("u", "v", "sig_u", "sig_v")), "candidates")
-    links = written(_verified(near, docs, idf, threshold), "verified")
-    first = written(components(links), "components")
-
-    # what the stars leave open: buckets that hold more than one component
-    labelled = bands.join(leaders.select("band", "members"), "band").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a <> z").select("band")
-    more = written(_across(labelled.join(open_, "band").join(own, "rep").select("band", "rep", "component", "members", "sig")), "candidates")
-    links = links.union(_verified(more, docs, idf, threshold))
-    final = components(links).withColumnRenamed("node", "rep")
+    leaders = bands.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("_n")).filter("_n > 1")
+    groups = bands.join(leaders, "band").select("u", F.col("rep").alias("v")).distinct()
+    groups = written(_with_company(groups.join(own.withColumnRenamed("rep", "v"), "v").select("u", "v", "sig")), "groups")
+    final = components(_links(groups, docs, idf, threshold)).withColumnRenamed("node", "rep")
     out = members.select("doc_id", "rep").join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
 
