@@ -18,10 +18,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, written
 from .encode import CACHE, Encoder, encoder
 from .pieces import chunks, cut
 
@@ -207,7 +208,16 @@ def word_counts(docs: DataFrame, path: str, how: str = "clip") -> DataFrame:
 
 def lexicon(docs: DataFrame, path: str, how: str = "clip", most: int = LEXICON) -> Lexicon:
     """The ``most`` most frequent words of all documents, compiled."""
-    top = word_counts(docs, path, how).filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()  # bounded by ``most``
+    counts = written(word_counts(docs, path, how).filter("n > 1"), "words")
+    # words by the power of two of their count: where the last wanted one lies, so that no more than a few times ``most`` are sorted
+    powers = sorted(((r["p"], r["k"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = 2, 0
+    for p, k in powers:  # at most 64 rows
+        held += k
+        if held >= most:
+            least = 2**p
+            break
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()  # bounded by ``most``
     enc = Encoder(path, how)
     return Lexicon.build({r["word"].encode(): enc.piece_ids(r["word"]) for r in top})
 
@@ -246,7 +256,7 @@ class Codec:
                     e = old.get(w) or self.entry(np.frombuffer(self.enc.piece_ids(w), np.int32))
                     young[w] = e
             out.append(e)
-        if len(young) > CACHE // 2:
+        if len(young) > CACHE:
             self.old, self.young = young, {}
         return out
 
@@ -268,15 +278,15 @@ class Codec:
                     yield int(total[i + 1] - total[i]), " ".join(ids[a:z]), " ".join(tokens[a:z])
 
 
-_held: dict[int, Codec] = {}
+_held: dict[tuple, Codec] = {}
 
 
-def _codec(data, path: str, how: str) -> Codec:
-    """One codec for each worker process and lexicon."""
-    key = hash((data.id if hasattr(data, "id") else id(data), path, how))
+def _codec(data: bytes, path: str, how: str) -> Codec:
+    """One codec for each worker process and lexicon, so that its cache lasts over tasks."""
+    key = (xxhash.xxh64_digest(data), path, how)
     if key not in _held:
         _held.clear()
-        _held[key] = Codec(Lexicon.mapped(data.value), encoder(path, how))
+        _held[key] = Codec(Lexicon.mapped(data), encoder(path, how))
     return _held[key]
 
 
@@ -285,7 +295,7 @@ def round_trip(docs: DataFrame, path: str, how: str = "clip", most: int = LEXICO
     held = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, how, most).to_bytes())
 
     def run(frames):
-        codec = _codec(held, path, how)
+        codec = _codec(held.value, path, how)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches(frames):
             rows = [(n, sha(i), sha(t)) for n, i, t in codec.texts(b.column("text").to_pylist())]
@@ -300,7 +310,7 @@ def encoded(docs: DataFrame, path: str, how: str = "clip", most: int = LEXICON)
     held = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, how, most).to_bytes())
 
     def run(frames):
-        codec = _codec(held, path, how)
+        codec = _codec(held.value, path, how)
         for b in batches(frames):
             ids = [[int(x) for x in i.split()] for _, i, _ in codec.texts(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
