@@ -318,6 +318,13 @@ def test_language(spark):
     assert language_id.predicted(empty(spark)).count() == 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    langs = ["en", "de", "fr"]
+    foreign = ["Быстрая лиса прыгает через ленивую собаку", "日本語の文章です", "مرحبا بالعالم", "xqzv kjwq zzxv qqkj wvxz jkqx"]
+    df = table(spark, [*(prose(k, 30, k % 3) for k in range(150)), *foreign], [*(langs[k % 3] for k in range(150)), *[None] * len(foreign)])
+    assert set(texts_of(language_id.identified(df))) == {3 * k for k in range(150)}
+
+
 # ------------------------------------------------------------------ codec (8)
 
 
