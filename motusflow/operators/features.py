@@ -141,26 +141,59 @@ def frequency_features(x: np.ndarray, rate: float, top: int = 1) -> list[float]:
     return [*freq[at].tolist(), *pad, *power[at].tolist(), *pad, float(power.sum()), float(power[freq > HIGH_HZ].sum())]
 
 
-def spectral(rows: DataFrame, by: Sequence[str], column: str, rate: str = "rate", time: str = "t_ms") -> DataFrame:
-    """Dominant frequency and its power, total and high power of every window; a window's samples are gathered by one aggregate.
-
-    A window is bounded by its duration, so its samples fit a row; the transform then runs over many windows an Arrow batch.
-    """
+def _packed(rows: DataFrame, by: Sequence[str], column: str, rate: str, time: str) -> tuple[DataFrame, str]:
+    """One row a window with its samples in order (``_x``) and its rate, and the schema of ``by``."""
     packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(time, column))).alias("_s"), F.first(rate).alias("_rate"))
     packed = packed.select(*by, F.transform("_s", lambda s: s[column]).alias("_x"), "_rate")
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
-    names = [f"dom_freq_{column}", f"dom_power_{column}", f"total_power_{column}", f"high_power_{column}"]
+    return packed, ", ".join(f"{n} {kinds[n]}" for n in by)
+
+
+def _good(x: list, rate) -> bool:
+    return bool(len(x) > 1 and rate and None not in x)
+
+
+def spectral(rows: DataFrame, by: Sequence[str], column: str, rate: str = "rate", time: str = "t_ms", top: int = 1) -> DataFrame:
+    """Frequencies and powers of the ``top`` highest peaks, total and high power of every window; a window's samples are gathered by one aggregate.
+
+    A window is bounded by its duration, so its samples fit a row; the transform then runs over many windows an Arrow batch.
+    """
+    packed, schema = _packed(rows, by, column, rate, time)
+    place = ["", *(f"_{k}" for k in range(2, top + 1))]
+    names = [*(f"dom_freq{k}_{column}" for k in place), *(f"dom_power{k}_{column}" for k in place), f"total_power_{column}", f"high_power_{column}"]
 
     def run(frames):
         for b in frames:
             out = []
             for x, r in zip(b.column("_x").to_pylist(), b.column("_rate").to_pylist(), strict=True):
-                good = len(x) > 1 and r and None not in x
-                out.append(frequency_features(np.array(x, float), float(r)) if good else [None] * 4)
-            cols = [pa.array([o[k] for o in out], pa.float64()) for k in range(4)]
+                out.append(frequency_features(np.array(x, float), float(r), top) if _good(x, r) else [None] * len(names))
+            cols = [pa.array([o[k] for o in out], pa.float64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in by), *cols], names=[*by, *names])
 
-    return packed.mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in by), *(f"{n} double" for n in names)]))
+    return packed.mapInArrow(run, ", ".join([schema, *(f"{n} double" for n in names)]))
+
+
+def spectral_peaks(rows: DataFrame, by: Sequence[str], column: str, rate: str = "rate", time: str = "t_ms") -> DataFrame:
+    """Every peak of each window's spectrum: by, rank (1 is the highest), power, freq; no row for a window without peaks."""
+    packed, schema = _packed(rows, by, column, rate, time)
+
+    def run(frames):
+        for b in frames:
+            rank, powers, freqs, row = [], [], [], []
+            for i, (x, r) in enumerate(zip(b.column("_x").to_pylist(), b.column("_rate").to_pylist(), strict=True)):
+                if not _good(x, r):
+                    continue
+                freq, power = spectrum(np.array(x, float), float(r))
+                at = detect_peaks(power)
+                at = at[np.argsort(-power[at], kind="stable")]
+                rank += range(1, len(at) + 1)
+                powers += power[at].tolist()
+                freqs += freq[at].tolist()
+                row += [i] * len(at)
+            head = [b.column(n).take(pa.array(row, pa.int64())) for n in by]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(rank, pa.int64()), pa.array(powers, pa.float64()), pa.array(freqs, pa.float64())], names=[*by, "rank", "power", "freq"])
+
+    return packed.mapInArrow(run, f"{schema}, rank long, power double, freq double")
 
 
 def sampling_rate(points: DataFrame, keys: Sequence[str], time: str = "t_ms") -> DataFrame:

@@ -470,6 +470,13 @@ def spectral_peaks(spark, sf):
     return rounded(got.select(*BY, F.lit(1).cast("long").alias("rank"), F.col("dom_power_vm").alias("power"), F.col("dom_freq_vm").alias("freq")))
 
 
+@_query()
+def spectral_peaks_all(spark, sf):
+    """All ranked peaks of each window; ``spectral_peaks`` keeps the rank filter of its SQL."""
+    rate = features.sampling_rate(views.dense(spark, sf), KEYS)
+    return rounded(features.spectral_peaks(_held(spark, sf).join(rate, KEYS), BY, "vm"))
+
+
 _TF = """round(mean_vm, 6) + 0.0e0 AS mean_vm, round(std_vm, 6) + 0.0e0 AS std_vm, round(max_vm, 6) + 0.0e0 AS max_vm, round(dom_power, 6) AS dom_freq_vm, round(dom_power / nullif(total_power, 0), 6) AS dom_freq_power_ratio_vm,
 round(high_power / nullif(total_power, 0), 6) AS highend_freq_power_ratio_vm, round(range_vm, 6) + 0.0e0 AS range_vm, round(active / n, 6) AS active_sample_perc_vm, round(rises / nullif(active, 0), 6) AS number_of_activations_vm,
 round(CASE WHEN rises <= 2 THEN 0e0 ELSE spread END / n, 6) + 0.0e0 AS activation_interval_var_vm"""

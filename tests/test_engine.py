@@ -229,6 +229,24 @@ def test_sql_twins(spark, name):
     _same(registry.queries()[name](spark, SF).toPandas(), con.sql(registry.oracle_sql()[name]).df())
 
 
+def test_all_spectral_peaks_of_a_window(spark):
+    import numpy as np
+
+    n = np.arange(200)
+    x = np.sin(2 * np.pi * n * 50 / 1000) + 0.5 * np.sin(2 * np.pi * n * 250 / 1000) + 0.2 * np.sin(2 * np.pi * n * 400 / 1000)
+    p = points(spark, [int(t) * 50 for t in n], [(v, 0, 0) for v in x]).withColumn("rate", F.lit(20))
+    freq, power = features.spectrum(x, 20.0)
+    at = features.detect_peaks(power)
+    at = at[np.argsort(-power[at], kind="stable")]
+    got = sorted(features.spectral_peaks(p, ["pid", "sid"], "x").collect(), key=lambda r: r["rank"])
+    assert len(got) == len(at) > 2 and [r["rank"] for r in got] == list(range(1, len(at) + 1))
+    assert np.allclose([r["freq"] for r in got], freq[at]) and np.allclose([r["power"] for r in got], power[at])
+    top = features.spectral(p, ["pid", "sid"], "x", top=3).first()
+    assert np.allclose([top["dom_freq_x"], top["dom_freq_2_x"], top["dom_freq_3_x"]], freq[at[:3]])
+    if os.path.isdir(SF):
+        assert registry.queries()["spectral_peaks_all"](spark, SF).filter("rank > 1").count() > 0
+
+
 def test_entry_works_without_the_llm_folder(spark):
     import __spark_entry__
 
