@@ -12,8 +12,10 @@
 A pair of similarity 0.8 shares no band with a probability of about (1 - 0.8 ** 4) ** 16 = 0.0002.
 
 Defined cases: null and empty texts form one class, as do texts without words that are equal; shorter texts than five words
-have one shingle; rows with one doc_id are one document; a null doc_id takes its class's component and is kept only if the
-class has no other id; an empty table gives no rows; extra columns pass through ``deduplicated`` and are otherwise not read.
+have one shingle. A class is known by its content, a row by the hash of its doc_id and text, so rows with one doc_id or none
+are told apart by their texts; of each component one row stays, that of the smallest doc_id, and one without doc_id only if no
+row has one (component_id is null then); rows equal in both are flagged alike in ``near_duplicates`` and come once in
+``deduplicated``; an empty table gives no rows; extra columns pass through ``deduplicated`` and are otherwise not read.
 """
 
 from __future__ import annotations
@@ -126,19 +128,24 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def row_id():
+    """What tells rows apart; equal for rows of the same doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, content (equal for texts of the same words in the same order), sig (binary; null without shingles)."""
+    """rid, doc_id, node (equal for texts of the same words in the same order), sig (binary; null without shingles)."""
 
     def run(frames):
         for b in batches(frames):
             texts = b.column("text").to_pylist()
-            content, sig = [], []
+            node, sig = [], []
             for t, found in zip(texts, shingles(texts), strict=True):
-                content.append(xxhash.xxh128_digest(found.tobytes()))
+                node.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sig.append(samples(*weighted(found, idf.value)).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "content", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], names=["rid", "doc_id", "node", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, content binary, sig binary")
+    return docs.mapInArrow(run, "rid long, doc_id long, node long, sig binary")
 
 
 def _blocked(pairs: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def _blocked(pairs: DataFrame) -> DataFrame:
 
 
 def _runs(frames, *columns: str):
-    """The rows of each (u, low, high) of sorted batches, as lists of columns."""
+    """The rows of each (u, low, high) of sorted batches, as lists of columns. The second column is v; a repeated v comes once."""
     key, held = None, []
     for b in frames:
         for u, low, high, *row in zip(*(b.column(x).to_pylist() for x in ("u", "low", "high", *columns)), strict=True):
@@ -162,13 +169,14 @@ def _runs(frames, *columns: str):
                 if len(held) > 1:
                     yield key, list(zip(*held, strict=True))
                 key, held = (u, low, high), []
-            held.append(row)
+            if not held or held[-1][1] != row[1]:
+                held.append(row)
     if len(held) > 1:
         yield key, list(zip(*held, strict=True))
 
 
 def _sorted(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high")
+    return dealt.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high", "v")
 
 
 def _with_company(groups: DataFrame) -> DataFrame:
@@ -224,10 +232,10 @@ def linked(weights: list[tuple[np.ndarray, np.ndarray]], first: int, threshold:
 
 
 def _links(groups: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (u, v) within groups by the whole texts. ``groups`` (u, v) is a written table."""
+    """Links (u, v) within groups by the whole texts. ``groups`` (u, v, rid) is a written table; rid is a row that has v's text."""
     dealt = _blocked(groups)
     dealt = F.broadcast(dealt) if count_in(groups, SMALL) else dealt  # then only texts that are needed are shuffled
-    rows = dealt.join(docs.select(F.col("doc_id").alias("v"), "text"), "v").select("u", "low", "high", "mine", "v", "text")
+    rows = dealt.join(docs.select("rid", "text"), "rid").select("u", "low", "high", "mine", "v", "text")
 
     def run(frames):
         for key, (mine, v, text) in _runs(frames, "mine", "v", "text"):
@@ -243,34 +251,44 @@ def _links(groups: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
     return _sorted(rows).mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of its group), keep, for every row of ``docs``."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """rid, doc_id, node of every row, and for every node the doc_id and rid of the row that stays of its component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_id().alias("rid"))
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs)))  # 2 ** DF_BITS places
     sigs = written(signatures(docs, idf), "signatures")
-    reps = sigs.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    members = written(sigs.join(reps, "content").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    own = members.filter("sig is not null").select("rep", "sig").dropDuplicates(["rep"])
+    head = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "rid")
+    reps = written(sigs.groupBy("node").agg(F.min(head).alias("head")), "classes")
+    own = written(sigs.filter("sig is not null").select("node", "sig").dropDuplicates(["node"]), "own")
 
     def banded(frames):
         for b in frames:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, -1)
                 keys = band_keys(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], names=["band", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("node").to_numpy(), keys.shape[1]))], names=["band", "node"])
 
-    bands = written(own.mapInArrow(banded, "band long, rep long"), "bands")
-    leaders = bands.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("_n")).filter("_n > 1")
-    groups = bands.join(leaders, "band").select("u", F.col("rep").alias("v")).distinct()
-    groups = written(_with_company(groups.join(own.withColumnRenamed("rep", "v"), "v").select("u", "v", "sig")), "groups")
-    final = components(_links(groups, docs, idf, threshold)).withColumnRenamed("node", "rep")
-    out = members.select("doc_id", "rep").join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep"))
+    bands = written(own.mapInArrow(banded, "band long, node long"), "bands")
+    leaders = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("_n")).filter("_n > 1")
+    groups = bands.join(leaders, "band").select("u", F.col("node").alias("v")).distinct()
+    groups = _with_company(groups.join(own.withColumnRenamed("node", "v"), "v").select("u", "v", "sig"))
+    groups = written(groups.join(reps.select(F.col("node").alias("v"), F.col("head.rid").alias("rid")), "v").select("u", "v", "rid"), "groups")
+    final = components(_links(groups, docs, idf, threshold))
+    classes = written(reps.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "head"), "members")
+    kept = classes.groupBy("component").agg(F.min("head").alias("kept"))
+    stays = classes.select("node", "component").join(kept, "component").select("node", F.col("kept.doc_id").alias("component_id"), F.col("kept.rid").alias("kept"))
+    return sigs.select("rid", "doc_id", "node"), stays
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of its group), keep, for every row of ``docs``."""
+    rows, stays = _classes(docs, threshold)
+    return rows.join(stays, "node").select("doc_id", "component_id", (F.col("rid") == F.col("kept")).alias("keep"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of one document of each group (the smallest doc_id), with all their columns; equal rows of it come once."""
-    kept = near_duplicates(docs, threshold).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_row = 1").drop("_row")
+    """One row of each group (of the smallest doc_id), with all its columns."""
+    kept = _classes(docs, threshold)[1].select("kept").distinct()
+    rows = docs.withColumn("_rid", row_id())
+    rows = rows.join(kept, rows["_rid"] == kept["kept"], "left_semi")
+    return rows.withColumn("_row", F.row_number().over(W.partitionBy("_rid").orderBy(F.xxhash64("text")))).filter("_row = 1").drop("_row", "_rid")

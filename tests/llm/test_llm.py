@@ -207,6 +207,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_or_with_one_doc_id_are_deduplicated_by_text(spark):
+    a, b, c, d = (prose(800 + k, 150) for k in range(4))
+    near = a.split()
+    near[70] = "edited"
+    rows = [(None, a), (None, " ".join(near)), (None, b), (None, b), (7, c), (7, d), (7, d), (1, b), (None, ""), (None, None)]
+    df = spark.createDataFrame([(k, t, "x", "s", 0) for k, t in rows], DOCS).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.deduplicated(df).collect()]
+    assert len(got) == 5 and {(1, b), (7, c), (7, d)} < set(got)
+    assert sum(t in (a, " ".join(near)) for _, t in got) == 1 and sum(not t for _, t in got) == 1
+    assert near_dedup.near_duplicates(df).filter("keep").count() == 7  # rows equal in doc_id and text are flagged alike
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     s = np.unique(rng.integers(0, 2**63, 600).astype(np.uint64))
