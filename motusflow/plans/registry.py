@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -667,13 +668,19 @@ def calib_apply(spark, sf):
 
 @_query()
 def calib_fit(spark, sf):
-    """Points distorted by a known matrix; the fit brings their length back to one."""
+    """The dense stream, each second turned to an orientation of its own and distorted by a known matrix; still stretches of every sensor are fitted.
+
+    The view's still stretches have three orientations, too few for a fit; hence the turning.
+    """
     from ..operators.calibration import calibration as fit
 
-    i = F.col("event_id")
-    unit = views.table(spark, sf, "events").filter("event_id < 24").select("event_id", F.sin(i * 1.3).alias("a"), (F.cos(i * 0.7) * 1.5).alias("c"))
-    x, y, z = F.cos("a") * F.cos("c"), F.cos("a") * F.sin("c"), F.sin("a")
-    rows = unit.select(F.lit("P0").alias("pid"), F.lit("S1").alias("sid"), F.col("event_id").alias("count"), (x * 1.1 + y * 0.02 + 0.05).alias("x"), (x * 0.02 + y * 0.95 - 0.03).alias("y"), (z * 1.05 + 0.02).alias("z"))
+    second = F.floor(F.col("t_ms") / 1000) % 86_400
+    a, c = second * 2.399963, second * 0.7548777 * 2 * np.pi
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    turned = views.dense(spark, sf).select("pid", "sid", "t_ms", (x * F.cos(a) - y * F.sin(a)).alias("x"), (x * F.sin(a) + y * F.cos(a)).alias("y"), "z", c.alias("c"))
+    turned = turned.select("pid", "sid", "t_ms", "x", (y * F.cos("c") - z * F.sin("c")).alias("y"), (y * F.sin("c") + z * F.cos("c")).alias("z"))
+    rows = turned.select("pid", "sid", "t_ms", (x * 1.1 + y * 0.02 + 0.05).alias("x"), (x * 0.02 + y * 0.95 - 0.03).alias("y"), (z * 1.05 + 0.02).alias("z"))
+    rows = calibration.still_chunks(rows)
     got = fit(rows)
     return rounded(got.select("pid", "sid", *(F.col("m")[k].alias(f"m{k}") for k in range(9)), *(F.col("b")[k].alias(f"b{k}") for k in range(3))))
 

@@ -247,6 +247,26 @@ def test_all_spectral_peaks_of_a_window(spark):
         assert registry.queries()["spectral_peaks_all"](spark, SF).filter("rank > 1").count() > 0
 
 
+def test_calib_fit_of_24_points():
+    import numpy as np
+
+    i = np.arange(24)
+    a, c = np.sin(i * 1.3), np.cos(i * 0.7) * 1.5
+    p = np.stack([np.cos(a) * np.cos(c), np.cos(a) * np.sin(c), np.sin(a)], 1)
+    m, b = calibration.fitted(p @ np.array([[1.1, 0.02, 0], [0.02, 0.95, 0], [0, 0, 1.05]]) + [0.05, -0.03, 0.02])
+    assert np.allclose(b, [0.05, -0.03, 0.02], atol=1e-6) and np.allclose(m @ [[1.1, 0.02, 0], [0.02, 0.95, 0], [0, 0, 1.05]], np.eye(3), atol=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_calib_fit_over_all_sensors(spark):
+    from motusflow.sources import views
+
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["calib_fit"](spark, sf).toPandas()
+    assert set(got.pid) == {r[0] for r in views.dense(spark, sf).select("pid").distinct().collect()}
+    assert (got[["b0", "b1", "b2"]] - [0.05, -0.03, 0.02]).abs().to_numpy().max() < 1e-4
+
+
 def test_entry_works_without_the_llm_folder(spark):
     import __spark_entry__
 
