@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,15 +106,18 @@ class Bundle:
         return cls(**json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
     def mapped(self, rows: DataFrame) -> DataFrame:
-        """``_phi``: random Fourier features of the scaled columns, as one array expression."""
+        """``_phi``: random Fourier features of the scaled columns, one matrix product an Arrow batch."""
         rng = np.random.default_rng(self.seed)
         w = rng.normal(0, np.sqrt(2 * self.gamma), (self.width, len(self.columns)))
         shift = rng.uniform(0, 2 * np.pi, self.width)
         rows = scaled(rows, {c: tuple(v) for c, v in self.limits.items()})
-        table = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in row)).alias("w"), F.lit(float(s)).alias("s")) for row, s in zip(w, shift, strict=True)))
-        rows = rows.withColumn("_x", F.array(*self.columns))
-        dot = lambda t: F.aggregate(F.zip_with("_x", t["w"], lambda x, v: x * v), t["s"], lambda a, v: a + v)
-        return rows.withColumn("_phi", F.transform(table, lambda t: F.cos(dot(t)) * float(np.sqrt(2 / self.width))))
+        scale = float(np.sqrt(2 / self.width))
+
+        @F.pandas_udf("array<double>")
+        def phi(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.cos(np.stack(x.to_list()) @ w.T + shift) * scale) if len(x) else [], dtype=object)
+
+        return rows.withColumn("_phi", phi(F.array(*self.columns)))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """<NAME>_PREDICTION and <NAME>_PREDICTION_PROB for rows without a missing feature."""

@@ -754,8 +754,9 @@ def align_features(spark, sf):
 
 @_query()
 def svm_predict(spark, sf):
-    """A radial-kernel machine by random features, trained on most vectors and applied to the others."""
-    rows = _vectors(spark, sf, 16).withColumn("kind", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
-    cols = [f"f{k}" for k in range(16)]
-    bundle = models.train(rows.filter("vec_id % 5 <> 0"), cols, "MDCAS", "kind", cost=10.0, width=64, iterations=20)
-    return rounded(bundle.predict(rows.filter("vec_id % 5 = 0")).select("vec_id", "kind", "MDCAS_PREDICTION", "MDCAS_PREDICTION_PROB"))
+    """A radial-kernel machine by random features over all components, trained on most vectors and applied to all."""
+    width = views.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    rows = _vectors(spark, sf, width).withColumn("kind", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
+    cols = [f"f{k}" for k in range(width)]
+    bundle = models.train(rows.filter("vec_id % 5 <> 0"), cols, "MDCAS", "kind", cost=10.0)
+    return rounded(bundle.predict(rows).select("vec_id", "kind", "MDCAS_PREDICTION", "MDCAS_PREDICTION_PROB"))

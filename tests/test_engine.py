@@ -267,6 +267,14 @@ def test_calib_fit_over_all_sensors(spark):
     assert (got[["b0", "b1", "b2"]] - [0.05, -0.03, 0.02]).abs().to_numpy().max() < 1e-4
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_svm_predicts_every_vector(spark):
+    from motusflow.sources import views
+
+    got = registry.queries()["svm_predict"](spark, SF).toPandas()
+    assert len(got) == views.table(spark, SF, "embeddings").count() and got.MDCAS_PREDICTION.notna().all()
+
+
 def test_entry_works_without_the_llm_folder(spark):
     import __spark_entry__
 
