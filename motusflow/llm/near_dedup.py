@@ -1,6 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling (Ioffe 2010) over TF-IDF shingles of five words.
 
-1. Document frequencies of all shingles over all documents, in a table of fixed size (hashed, an upper bound of each).
+1. Exact document frequencies of all 64-bit shingles: each chunk of documents sends its distinct shingles, sorted and packed, to
+   key ranges, whose sums return to the chunks.
 2. A weight for each shingle: its count times an inverse document frequency between 1 and 2, so that no shared shingle is
    worth less than half of a rare one.
 3. SAMPLES consistent weighted samples a document; equal texts are folded into one class by content first.
@@ -23,60 +24,58 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, count_in, written
 from .graph import components
+from .lm_scoring import _packed, _unpacked
 from .shingles import mixed, shingles
 
 THRESHOLD = 0.8
 SAMPLES, ROWS = 64, 4
 #: Share of equal samples below which a candidate is not compared in full: a pair at the threshold falls below with p < 1e-6.
 ESTIMATE = 0.55
-DF_BITS, POOL_BITS, SLICES = 20, 16, 64
+POOL_BITS = 16
+#: Distinct shingles of a chunk of documents, and characters of all texts for each range of shingles.
+CHUNK_SHINGLES, RANGE_CHARS = 1_000_000, 12_000_000
 #: Members of a block of a group, and rows that are broadcast at most.
 BLOCK, SMALL = 2048, 1_000_000
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold a shingle of each hash range, and all documents. The table has 2 ** DF_BITS places."""
-    part = (1 << DF_BITS) // SLICES
+def document_frequencies(docs: DataFrame) -> tuple[dict[int, int], int]:
+    """Documents that hold each shingle, and all documents, gathered on the driver: for corpora that fit it."""
 
     def run(frames):
-        counts, n = np.zeros(1 << DF_BITS, np.int64), 0
         for b in batches(frames):
             found = [np.unique(s) for s in shingles(b.column("text").to_pylist())]
-            n += len(found)
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-        if n:
-            data = [counts[i * part : (i + 1) * part].astype("<i4").tobytes() for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(data), pa.array([n] + [0] * (SLICES - 1), pa.int64())], names=["slice", "counts", "n"])
-
-    def total(t: pa.Table) -> pa.Table:
-        held = np.zeros(part, np.int64)
-        for c in t.column("counts").to_pylist():
-            held += np.frombuffer(c, "<i4")
-        return pa.table([t.column("slice")[:1], pa.array([held.tobytes()]), pa.array([sum(t.column("n").to_pylist())])], names=["slice", "counts", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "slice int, counts binary, n long").groupBy("slice").applyInArrow(total, "slice int, counts binary, n long").collect()
-    out = np.zeros(1 << DF_BITS, np.int64)
-    for r in rows:  # SLICES rows, whatever the corpus
-        out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out, sum(r["n"] for r in rows)
-
-
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
+
+    rows = docs.select("text").mapInArrow(run, "s long").groupBy("s").count().toPandas()
+    return dict(zip(rows["s"].to_numpy().view(np.uint64).tolist(), rows["count"].tolist(), strict=True)), docs.count()
+
+
+def inverse(df: np.ndarray, n: int) -> np.ndarray:
     """1 + ln((n + 1) / (df + 1)) / ln(n + 1), at least 1."""
     return (1 + np.maximum(np.log((n + 1) / (df + 1.0)), 0) / np.log(max(n, 1) + 1)).astype(np.float32)
 
 
-def weighted(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def idf_table(df: dict[int, int], n: int):
+    """The inverse document frequencies of shingles, as a function of them."""
+    return lambda s: inverse(np.array([df[x] for x in s.tolist()], np.int64), n)
+
+
+def weighted(found: np.ndarray, idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in order, with TF-IDF weights."""
     s, n = np.unique(found, return_counts=True)
-    return s, n.astype(np.float32) * idf[(s >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    return s, n.astype(np.float32) * idf(s)
+
+
+def _held_idf(df: bytes | None, n: int):
+    """The inverse document frequencies of one document's distinct shingles, of which ``df`` are the frequencies; none: all are 1."""
+    return lambda s: inverse(_unpacked(df, "<u4") if df else np.ones(len(s), np.uint32), n)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -133,19 +132,74 @@ def row_id():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """rid, doc_id, node (equal for texts of the same words in the same order), sig (binary; null without shingles)."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """rid, doc_id, node (equal for texts of the same words in the same order), sig (binary; null without shingles), df.
 
-    def run(frames):
-        for b in batches(frames):
-            texts = b.column("text").to_pylist()
-            node, sig = [], []
-            for t, found in zip(texts, shingles(texts), strict=True):
-                node.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                sig.append(samples(*weighted(found, idf.value)).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], names=["rid", "doc_id", "node", "sig"])
+    ``df`` is the packed document frequencies of the distinct shingles in order, null if all are 1. docs: rid, doc_id, text.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = 1 << max(6, int(np.ceil(np.log2(max(chars / RANGE_CHARS, 1)))))
+    shift = np.uint64(64 - int(np.log2(ranges)))
 
-    return docs.mapInArrow(run, "rid long, doc_id long, node long, sig binary")
+    def deal(frames):
+        chunk = TaskContext.get().partitionId() << 32
+        held, found, size = [], [], 0
+        for b in batches(frames):
+            some = [np.unique(s) for s in shingles(b.column("text").to_pylist())]
+            held.append(b)
+            found += some
+            size += sum(map(len, some))
+            if size >= CHUNK_SHINGLES:
+                yield closed(chunk, held, found)
+                chunk, held, found, size = chunk + 1, [], [], 0
+        if held:
+            yield closed(chunk, held, found)
+
+    def closed(chunk, held, found):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in held:
+                out.write_batch(b)
+        rows = [(-1 - chunk, chunk, None, None, sink.getvalue().to_pybytes())]  # a group of its own, on its way to its chunk
+        key, times = np.unique(np.concatenate(found), return_counts=True)
+        at = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
+        for k in range(ranges):
+            a, z = int(at[k]), int(at[k + 1])
+            if a < z:
+                rows.append((k, chunk, _packed(np.diff(key[a:z], prepend=np.uint64(k) << shift)), _packed(times[a:z].astype("<u4")), None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT)
+
+    def summed(t: pa.Table) -> pa.Table:
+        if t.column("range")[0].as_py() < 0:
+            return t.select(["range", "chunk", "times", "docs"])
+        keys = [np.cumsum(_unpacked(g, "<u8")) for g in t.column("gaps").to_pylist()]  # from the start of the range
+        times = np.concatenate([_unpacked(x, "<u4") for x in t.column("times").to_pylist()]).astype(np.int64)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(place, times)[place].astype("<u4")
+        ends = np.cumsum([len(k) for k in keys])
+        packed = [_packed(df[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
+        return pa.table([t.column("range"), t.column("chunk"), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=["range", "chunk", "times", "docs"])
+
+    def signed(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["range"])
+        docs = pa.ipc.open_stream(rows[0]["docs"]).read_all()
+        found = shingles(docs.column("text").to_pylist())
+        key = np.unique(np.concatenate(found))
+        df = np.concatenate([np.zeros(0, "<u4"), *(_unpacked(r["times"], "<u4") for r in rows[1:])])
+        node, sig, dfs = [], [], []
+        for s in found:
+            node.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+            own = df[np.searchsorted(key, np.unique(s))]
+            dfs.append(_packed(own) if (own > 1).any() else None)
+            sig.append(samples(*weighted(s, lambda _, own=own: inverse(own, n))).tobytes() if len(s) else None)
+        return pa.table([docs.column("rid"), docs.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(dfs, pa.binary())], names=["rid", "doc_id", "node", "sig", "df"])
+
+    dealt = docs.select("rid", "doc_id", "text").mapInArrow(deal, "range long, chunk long, gaps binary, times binary, docs binary")
+    part = dealt.groupBy("range").applyInArrow(summed, "range long, chunk long, times binary, docs binary")
+    return part.groupBy("chunk").applyInArrow(signed, "rid long, doc_id long, node long, sig binary, df binary")
+
+
+DEALT = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("gaps", "times", "docs"))])
 
 
 def _blocked(pairs: DataFrame) -> DataFrame:
@@ -161,7 +215,7 @@ def _blocked(pairs: DataFrame) -> DataFrame:
 
 
 def _runs(frames, *columns: str):
-    """The rows of each (u, low, high) of sorted batches, as lists of columns. The second column is v; a repeated v comes once."""
+    """The rows of each (u, low, high) of sorted batches, as lists of columns. The second column is v; rows of one v are merged."""
     key, held = None, []
     for b in frames:
         for u, low, high, *row in zip(*(b.column(x).to_pylist() for x in ("u", "low", "high", *columns)), strict=True):
@@ -169,7 +223,9 @@ def _runs(frames, *columns: str):
                 if len(held) > 1:
                     yield key, list(zip(*held, strict=True))
                 key, held = (u, low, high), []
-            if not held or held[-1][1] != row[1]:
+            if held and held[-1][1] == row[1]:
+                held[-1] = [x if y is None else y for x, y in zip(held[-1], row, strict=True)]
+            else:
                 held.append(row)
     if len(held) > 1:
         yield key, list(zip(*held, strict=True))
@@ -231,15 +287,20 @@ def linked(weights: list[tuple[np.ndarray, np.ndarray]], first: int, threshold:
     return out
 
 
-def _links(groups: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (u, v) within groups by the whole texts. ``groups`` (u, v, rid) is a written table; rid is a row that has v's text."""
+def _links(groups: DataFrame, docs: DataFrame, own: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (u, v) within groups by the whole texts. ``groups`` (u, v, rid) is a written table; rid is a row that has v's text.
+
+    ``own`` (node, df) has the frequencies of the texts' shingles; texts and frequencies meet in their group.
+    """
     dealt = _blocked(groups)
     dealt = F.broadcast(dealt) if count_in(groups, SMALL) else dealt  # then only texts that are needed are shuffled
-    rows = dealt.join(docs.select("rid", "text"), "rid").select("u", "low", "high", "mine", "v", "text")
+    at = ("u", "low", "high", "mine", "v")
+    rows = dealt.join(docs.select("rid", "text"), "rid").select(*at, "text", F.lit(None).cast("binary").alias("df"))
+    rows = rows.union(dealt.join(own.select(F.col("node").alias("v"), "df").filter("df is not null"), "v").select(*at, F.lit(None).cast("string"), "df"))
 
     def run(frames):
-        for key, (mine, v, text) in _runs(frames, "mine", "v", "text"):
-            found = [weighted(s, idf.value) for s in shingles(list(text))]
+        for key, (mine, v, text, df) in _runs(frames, "mine", "v", "text", "df"):
+            found = [weighted(s, _held_idf(d, n)) for s, d in zip(shingles(list(text)), df, strict=True)]
             some = [i for i, f in enumerate(found) if len(f[0])]
             if len(some) < 2:
                 continue
@@ -253,13 +314,12 @@ def _links(groups: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """rid, doc_id, node of every row, and for every node the doc_id and rid of the row that stays of its component."""
-    spark = docs.sparkSession
+    n = docs.count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_id().alias("rid"))
-    idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs)))  # 2 ** DF_BITS places
-    sigs = written(signatures(docs, idf), "signatures")
+    sigs = written(signatures(docs, n), "signatures")
     head = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "rid")
     reps = written(sigs.groupBy("node").agg(F.min(head).alias("head")), "classes")
-    own = written(sigs.filter("sig is not null").select("node", "sig").dropDuplicates(["node"]), "own")
+    own = written(sigs.filter("sig is not null").select("node", "sig", "df").dropDuplicates(["node"]), "own")
 
     def banded(frames):
         for b in frames:
@@ -271,9 +331,9 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     bands = written(own.mapInArrow(banded, "band long, node long"), "bands")
     leaders = bands.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("_n")).filter("_n > 1")
     groups = bands.join(leaders, "band").select("u", F.col("node").alias("v")).distinct()
-    groups = _with_company(groups.join(own.withColumnRenamed("node", "v"), "v").select("u", "v", "sig"))
+    groups = _with_company(groups.join(own.select(F.col("node").alias("v"), "sig"), "v").select("u", "v", "sig"))
     groups = written(groups.join(reps.select(F.col("node").alias("v"), F.col("head.rid").alias("rid")), "v").select("u", "v", "rid"), "groups")
-    final = components(_links(groups, docs, idf, threshold))
+    final = components(_links(groups, docs, own, n, threshold))
     classes = written(reps.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "head"), "members")
     kept = classes.groupBy("component").agg(F.min("head").alias("kept"))
     stays = classes.select("node", "component").join(kept, "component").select("node", F.col("kept.doc_id").alias("component_id"), F.col("kept.rid").alias("kept"))

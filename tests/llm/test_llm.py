@@ -207,6 +207,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_document_frequencies_are_exact(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 2000))) for _ in range(150)]
+    texts += [texts[k] + " tail" for k in range(20)] + ["", None]
+    df = table(spark, texts)
+    found = [np.unique(s) for s in shingles(texts)]
+    exact = Counter(x for s in found for x in s.tolist())
+    idf = near_dedup.idf_table(*near_dedup.document_frequencies(df))
+    for s in found:
+        want = 1 + np.log((len(texts) + 1) / (np.array([exact[x] for x in s.tolist()]) + 1)) / np.log(len(texts) + 1)
+        assert np.allclose(near_dedup.weighted(s, idf)[1], want, atol=1e-5)
+    rows = df.withColumn("rid", near_dedup.row_id())
+    for r in near_dedup.signatures(rows, len(texts)).collect():
+        s = found[r["doc_id"] // 3]
+        got = near_dedup._unpacked(bytes(r["df"]), "<u4") if r["df"] else np.ones(len(s))
+        assert got.tolist() == [exact[x] for x in s.tolist()]
+
+
 def test_rows_without_or_with_one_doc_id_are_deduplicated_by_text(spark):
     a, b, c, d = (prose(800 + k, 150) for k in range(4))
     near = a.split()
