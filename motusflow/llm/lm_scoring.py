@@ -1,14 +1,17 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
-Both models are matched: the same vocabulary (words hashed to ``1 << VOCAB_BITS`` ids, so its size is fixed), the same order
-and the same smoothing, P(w|v) = (c(v,w) + MU P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V). The target model counts the
-target documents, the background model counts all. A document's score is its mean loss a word under the target model less
-that under the background model; low means close to the target. A document's own bigram counts are left out when it is scored.
-
-One-word counts are a table of fixed size and go to every task. The bigram counts grow with the corpus and never meet in one
-place: each task sorts its documents' bigrams by a mixed key and sends one packed block to each key range; a range sums the
-counts of its keys, turns them into losses and returns one partial sum for each document; those meet by chunk of documents.
-A bigram reaches its range at most once for each document.
+Both models are matched: the same vocabulary (the words by their 64-bit hashes), the same order and the same smoothing,
+P(w|v) = (c(v,w) + MU P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V), where V is the number of distinct words, START at
+least. The target model counts the target documents, the background model counts all. A document's score is its mean loss a
+word under the target model less that under the background model; low means close to the target. A document's own bigram counts
+are left out when it is scored.
+
+A word is frequent if it is more than one of START words of the corpus; so there are at most START frequent words, and their
+counts go to every task. All other counts grow with the corpus and never meet in one place: each task sends its documents'
+bigrams, sorted and packed, to key ranges. A bigram whose second word is frequent goes by the hash of both words; one with a rare
+second word goes by that word, whose count is then the sum of the range's bigrams. The loss has a term of the bigram and the
+second word, and a term of the history c(v): a frequent history is known where the document is, a rare one is asked for in the
+range of that word. A range returns one partial sum for each document; those meet by chunk of documents.
 
 Defined cases: a null or empty text, or one without words, has 0 words and null losses and score; without target documents
 the target model is uniform; rows with equal or null doc_id are scored one by one; other columns are not read.
@@ -23,19 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, count_in
-from .shingles import word_hashes
+from .common import batches, count_in, written
+from .shingles import mixed, word_hashes
 
-VOCAB_BITS = 18
+VOCAB_BITS = 64
 MU = 8.0
-KEY_BITS = 2 * VOCAB_BITS + 1  # a history may also be the beginning of a text
-START = 1 << VOCAB_BITS
+#: Stands for the beginning of a text as a history; also the bound of the frequent words and the least V.
+START = 1 << 18
 #: Words of a chunk of documents, words of a key range, and rows to broadcast at most.
 CHUNK_WORDS, RANGE_WORDS, SMALL = 1_500_000, 2_000_000, 1_000_000
-_MIX = 0x1D8E4E27C47D124F
-_MASK = np.uint64((1 << KEY_BITS) - 1)
-_UNMIX = pow(_MIX, -1, 1 << KEY_BITS)
-
 
 def _packed(a: np.ndarray) -> bytes:
     """Bytes by place, then compressed."""
@@ -47,11 +46,6 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
 
 
-def _word_ids(texts: list[str | None]):
-    for first, h, bounds in word_hashes(texts):
-        yield first, (h >> np.uint64(64 - VOCAB_BITS)).astype(np.int64), bounds
-
-
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, text and whether the document is in the target; ``target`` holds doc_ids. Broadcast only if small."""
     ids = target.select(F.col("doc_id").alias("_t")).filter("_t is not null").distinct().withColumn("_hit", F.lit(True))
@@ -60,33 +54,41 @@ def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["_t"], "left").select("doc_id", "text", F.coalesce("_hit", F.lit(False)).alias("target"))
 
 
-def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every vocabulary id in the target and in all documents."""
+def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The frequent words in order, their counts (target, all), the totals of both counts, and V."""
 
     def run(frames):
-        counts = np.zeros((2, START), np.int64)
         for b in batches(frames):
             hit = b.column("target").to_numpy(zero_copy_only=False)
-            for first, w, bounds in _word_ids(b.column("text").to_pylist()):
-                counts[1] += np.bincount(w, minlength=START)
-                counts[0] += np.bincount(w[np.repeat(hit[first : first + len(bounds) - 1], np.diff(bounds))], minlength=START)
-        seen = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["w", "t", "b"])
+            for first, w, bounds in word_hashes(b.column("text").to_pylist()):
+                seen, place = np.unique(w, return_inverse=True)
+                of = np.repeat(hit[first : first + len(bounds) - 1], np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(place[of], minlength=len(seen))), pa.array(np.bincount(place, minlength=len(seen)))], names=["w", "t", "b"])
 
-    held = docs.mapInArrow(run, "w int, t long, b long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    out = np.zeros((2, START), np.int64)
-    out[:, held["w"].to_numpy(np.int64)] = held[["t", "b"]].to_numpy(np.int64).T
-    return out[0], out[1]
+    held = written(docs.mapInArrow(run, "w long, t long, b long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
+    total = held.agg(F.count("*").alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    often = held.filter(F.col("b") * START > total["b"]).toPandas()  # START rows at most
+    w = often["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(w)
+    return w[order], often[["t", "b"]].to_numpy(np.int64).T[:, order], np.array([total["t"], total["b"]]), max(START, total["v"])
+
+
+def _place(often: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The number of each word among the frequent ones, -1 for the others."""
+    if not len(often):
+        return np.full(len(w), -1)
+    at = np.minimum(np.searchsorted(often, w), len(often) - 1)
+    return np.where(often[at] == w, at, -1)
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score."""
     spark = docs.sparkSession
     docs = with_target(docs, target)
-    in_target, in_all = word_counts(docs)
-    ranges = 1 << max(6, int(np.ceil(np.log2(max(in_all.sum(), 1) / RANGE_WORDS))))
-    shift = np.uint64(KEY_BITS - int(np.log2(ranges)))
-    models = spark.sparkContext.broadcast(np.stack([in_target, in_all]))  # 2 ** VOCAB_BITS rows, whatever the corpus
+    often, counts, totals, vocabulary = word_counts(docs)
+    ranges = 1 << max(6, int(np.ceil(np.log2(max(int(totals[1]), 1) / RANGE_WORDS))))
+    shift = np.uint64(64 - int(np.log2(ranges)))
+    models = spark.sparkContext.broadcast((often, counts))  # START words at most
 
     def deal(frames):
         chunk = TaskContext.get().partitionId() << 32
@@ -94,7 +96,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         words = 0
         for b in batches(frames):
             doc, hit = b.column("doc_id").to_pylist(), b.column("target").to_pylist()
-            for first, w, bounds in _word_ids(b.column("text").to_pylist()):
+            for first, w, bounds in word_hashes(b.column("text").to_pylist()):
                 held.append((doc[first : first + len(bounds) - 1], hit[first : first + len(bounds) - 1], w, np.diff(bounds)))
                 words += len(w)
             if words >= CHUNK_WORDS:
@@ -104,96 +106,110 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
             yield closed(chunk, held)
 
     def closed(chunk, held):
+        often, counts = models.value
         ids = [x for h in held for x in h[0]]
-        hit = np.array([x for h in held for x in h[1]], np.uint64)
+        hit = np.array([x for h in held for x in h[1]], np.int64)
         w = np.concatenate([h[2] for h in held])
         size = np.concatenate([h[3] for h in held])
         ends = np.cumsum(size)
-        before = np.append(START, w[:-1]) if len(w) else w
-        before[(ends - size)[size > 0]] = START
-        doc = np.repeat(np.arange(len(size)), size).astype(np.uint64)
-        key = ((before.astype(np.uint64) << np.uint64(VOCAB_BITS) | w.astype(np.uint64)) * np.uint64(_MIX)) & _MASK
-        key, doc, n = _distinct(key, doc)
-        at = np.searchsorted(key >> shift, np.arange(ranges + 1, dtype=np.uint64))
+        v, start = np.roll(w, 1), np.zeros(len(w), bool)
+        start[(ends - size)[size > 0]] = True
+        v[start] = START
+        doc = np.repeat(np.arange(len(size)), size)
+        pair = mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w))
+        order = np.lexsort((doc, pair))
+        pair, doc, v, w, start = pair[order], doc[order], v[order], w[order], start[order]
+        heads = np.flatnonzero((np.diff(pair, prepend=~pair[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
+        n = np.diff(np.append(heads, len(pair)))
+        pair, doc, v, w, start = pair[heads], doc[heads], v[heads], w[heads], start[heads]
+        second, first = _place(often, w), np.where(start, -1, _place(often, v))
+        # frequent histories are known here
+        base = np.zeros((2, len(size)))
+        known = first >= 0
+        for model, own in ((0, n * hit[doc]), (1, n)):
+            base[model] = np.bincount(doc[known], np.log(counts[model][first[known]] - own[known] + MU) * n[known], len(size))
+        tag = doc << 2 | start << 1 | hit[doc]
+        asked = ~known & ~start
+        kinds = [np.flatnonzero(second >= 0), np.flatnonzero(second < 0), np.flatnonzero(asked)]
+        keys = [pair, mixed(w), mixed(v)]
         rows = {x: [] for x in DEALT.names}
-        base = np.uint64(0)
+        cut = []
+        for kind, (some, key) in enumerate(zip(kinds, keys, strict=True)):
+            key = key[some]
+            order = np.argsort(key, kind="stable")
+            some, key = some[order], key[order]
+            cut.append((some, key, np.searchsorted(key >> shift, np.arange(ranges, dtype=np.uint64)).tolist() + [len(key)]))
         for k in range(ranges):
-            a, z = int(at[k]), int(at[k + 1])
-            if a == z and k:
-                continue
-            base = np.uint64(k) << shift
-            gaps = np.diff(key[a:z], prepend=base).astype("<u4")
-            whole = (ids, size) if k == 0 else None
-            row = (k, chunk, _packed(gaps), _packed(doc[a:z].astype("<u4") << np.uint32(1) | hit[doc[a:z]].astype("<u4")), _packed(n[a:z].astype("<u4")))
-            row = (*row, *((np.array([x or 0 for x in whole[0]], "<i8").tobytes(), np.packbits([x is None for x in whole[0]]).tobytes(), whole[1].astype("<i8").tobytes()) if whole else (None, None, None)))
-            for name, x in zip(DEALT.names, row, strict=True):
-                rows[name].append(x)
+            for kind, (some, key, at) in enumerate(cut):
+                a, z = at[k], at[k + 1]
+                whole = k == 0 and kind == 0
+                if a == z and not whole:
+                    continue
+                i = some[a:z]
+                # frequent: the second word's number; rare: the pair; asked: nothing
+                more = second[i].astype("<u4") if kind == 0 else pair[i].astype("<u8") if kind == 1 else np.zeros(0, "<u4")
+                row = (k, kind, chunk, _packed(np.diff(key[a:z], prepend=np.uint64(k) << shift).astype("<u8")), _packed(tag[i].astype("<u4")), _packed(n[i].astype("<u4")), _packed(more))
+                row = (*row, *((np.array([x or 0 for x in ids], "<i8").tobytes(), np.packbits([x is None for x in ids]).tobytes(), size.astype("<i8").tobytes(), base.tobytes()) if whole else (None,) * 4))
+                for name, x in zip(DEALT.names, row, strict=True):
+                    rows[name].append(x)
         return pa.RecordBatch.from_pydict(rows, DEALT)
 
     def losses(t: pa.Table) -> pa.Table:
-        one = models.value
-        k = t.column("range")[0].as_py()
-        keys, docs_, counts, owner = [], [], [], []
-        rows = t.select(["chunk", "gaps", "docs", "n"]).to_pylist()
+        _, counts = models.value
+        base = np.uint64(t.column("range")[0].as_py()) << shift
+        rows = t.select(["kind", "chunk", "gaps", "docs", "n", "more"]).to_pylist()
+        parts: list[list] = [[], [], []]
         for i, r in enumerate(rows):
-            keys.append(np.cumsum(_unpacked(r["gaps"], "<u4").astype(np.uint64)) + (np.uint64(k) << shift))
-            docs_.append(_unpacked(r["docs"], "<u4"))
-            counts.append(_unpacked(r["n"], "<u4"))
-            owner.append(np.full(len(counts[-1]), i, np.int32))
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        key, doc, n, owner = key[order], np.concatenate(docs_)[order], np.concatenate(counts)[order].astype(np.int64), np.concatenate(owner)[order]
-        partial = [(None, None)] * len(rows)
-        if len(key):
-            heads = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-            reps = np.diff(np.append(heads, len(key)))
-            pair = (key[heads] * np.uint64(_UNMIX)) & _MASK
-            v, w = (pair >> np.uint64(VOCAB_BITS)).astype(np.int64), (pair & np.uint64(START - 1)).astype(np.int64)
-            lost, w, start = [], np.repeat(w, reps), np.repeat(v == START, reps)
-            v = np.minimum(np.repeat(v, reps), START - 1)
-            for model, own in ((0, n * (doc & 1)), (1, n)):
-                total = np.repeat(np.add.reduceat(own, heads), reps)
+            key, tag, n = np.cumsum(_unpacked(r["gaps"], "<u8"), dtype=np.uint64) + base, _unpacked(r["docs"], "<u4").astype(np.int64), _unpacked(r["n"], "<u4").astype(np.int64)
+            parts[r["kind"]].append((key, tag, n, np.full(len(n), i), _unpacked(r["more"], "<u8" if r["kind"] == 1 else "<u4")))
+        often, rare, asked = ([np.concatenate(c) for c in zip(*p, strict=True)] if p else [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)] for p in parts)
+        words, word = np.unique(rare[0], return_inverse=True)  # each use of a rare word is in a bigram that ends with it
+        spoken = [np.bincount(word, own, len(words)) for own in (rare[2] * (rare[1] & 1), rare[2])]
+        all_docs, all_lost, all_owner = [], [[], []], []
+        for (key, tag, n, owner, more), of in ((often, None), (rare, word)):
+            # rare words are few in each range, so bigrams are told apart by the pair's hash
+            _, pair = np.unique(key if of is None else more, return_inverse=True)
+            for model, own in ((0, n * (tag & 1)), (1, n)):
+                total = np.bincount(pair, own)[pair] if len(pair) else np.zeros(0)
+                c = counts[model][more.astype(np.int64)] if of is None else spoken[model][of]
                 rest = total - own  # a document's own bigrams do not speak for it
-                single = (one[model][w] + 1.0) / (one[model].sum() + START)
+                lost = -np.log(rest + MU * (c + 1.0) / (totals[model] + vocabulary))
                 # the beginning of a text has been seen as often as its bigrams say
-                history = np.maximum(np.where(start, 0, one[model][v]), total)
-                lost.append(-np.log((rest + MU * single) / (history - own + MU)) * n)
-            place = owner.astype(np.int64) << 32 | (doc >> 1)
-            order = np.argsort(place, kind="stable")
-            place, lost = place[order], [x[order] for x in lost]
-            heads = np.flatnonzero(np.diff(place, prepend=-1))
-            sums = [np.add.reduceat(x, heads) for x in lost]
-            owner, local = place[heads] >> 32, (place[heads] & 0xFFFFFFFF).astype("<u4")
-            cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-            partial = [(_packed(local[a:z]), np.stack([s[a:z] for s in sums]).astype("<f4").tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table([t.column("chunk"), pa.array([p[0] for p in partial], pa.binary()), pa.array([p[1] for p in partial], pa.binary()), t.column("ids"), t.column("nulls"), t.column("sizes")], names=["chunk", "local", "sums", "ids", "nulls", "sizes"])
+                lost += np.where(tag & 2, np.log(rest + MU), 0)
+                all_lost[model].append(lost * n)
+            all_docs.append(tag >> 2)
+            all_owner.append(owner)
+        key, tag, n, owner, _ = asked
+        at = np.searchsorted(words, key)
+        for model, own in ((0, n * (tag & 1)), (1, n)):
+            all_lost[model].append(np.log(spoken[model][at] - own + MU) * n if len(at) else np.zeros(0))
+        all_docs.append(tag >> 2)
+        all_owner.append(owner)
+        place = np.concatenate(all_owner).astype(np.int64) << 32 | np.concatenate(all_docs).astype(np.int64)
+        place, at = np.unique(place, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate(x), len(place)) for x in all_lost]
+        owner, local = place >> 32, (place & 0xFFFFFFFF).astype("<u4")
+        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        partial = [(_packed(local[a:z]), np.stack([s[a:z] for s in sums]).astype("<f4").tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        names = ["ids", "nulls", "sizes", "base"]
+        return pa.table([t.column("chunk"), pa.array([p[0] for p in partial], pa.binary()), pa.array([p[1] for p in partial], pa.binary()), *(t.column(x) for x in names)], names=["chunk", "local", "sums", *names])
 
     def gathered(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
         ids, size = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["sizes"], "<i8")
         none = np.unpackbits(np.frombuffer(head["nulls"], np.uint8))[: len(ids)].astype(bool)
-        total = np.zeros((2, len(ids)))
+        total = np.frombuffer(head["base"]).reshape(2, -1).copy()
         for r in rows:
-            if r["local"] is not None:
-                at = _unpacked(r["local"], "<u4").astype(np.int64)
-                total[:, at] += np.frombuffer(r["sums"], "<f4").reshape(2, -1)
+            at = _unpacked(r["local"], "<u4").astype(np.int64)
+            total[:, at] += np.frombuffer(r["sums"], "<f4").reshape(2, -1)
         bare = size == 0
         mean = total / np.maximum(size, 1)
         return pa.table([pa.array(ids, mask=none), pa.array(size), pa.array(mean[0], mask=bare), pa.array(mean[1], mask=bare), pa.array(mean[0] - mean[1], mask=bare)], names=["doc_id", "n_words", "loss_target", "loss_background", "score"])
 
-    dealt = docs.mapInArrow(deal, "range int, chunk long, gaps binary, docs binary, n binary, ids binary, nulls binary, sizes binary")
-    part = dealt.groupBy("range").applyInArrow(losses, "chunk long, local binary, sums binary, ids binary, nulls binary, sizes binary")
+    dealt = docs.mapInArrow(deal, "range int, kind int, chunk long, gaps binary, docs binary, n binary, more binary, ids binary, nulls binary, sizes binary, base binary")
+    part = dealt.groupBy("range").applyInArrow(losses, "chunk long, local binary, sums binary, ids binary, nulls binary, sizes binary, base binary")
     return part.groupBy("chunk").applyInArrow(gathered, "doc_id long, n_words long, loss_target double, loss_background double, score double")
 
 
-DEALT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("gaps", "docs", "n", "ids", "nulls", "sizes"))])
-
-
-def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (key, document) pairs in order, with their counts. A chunk holds under 2 ** 26 documents."""
-    both = np.sort(key << np.uint64(64 - KEY_BITS - 1) | doc)
-    heads = np.flatnonzero(np.diff(both, prepend=~both[:1])) if len(both) else np.zeros(0, np.int64)
-    n = np.diff(np.append(heads, len(both)))
-    both = both[heads]
-    return both >> np.uint64(64 - KEY_BITS - 1), both & np.uint64((1 << (64 - KEY_BITS - 1)) - 1), n
+DEALT = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("gaps", "docs", "n", "more", "ids", "nulls", "sizes", "base"))])

@@ -163,6 +163,32 @@ def test_lm_scores_against_brute_force(spark, docs):
     assert lm_scoring.score(empty(spark), target).count() == 0
 
 
+def test_lm_scores_do_not_share_counts_between_words(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in np.concatenate([rng.integers(0, 50, 300), rng.integers(50, 10**7, 3000)])) for _ in range(120)]
+    docs = table(spark, texts)
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, docs.filter(F.col("doc_id") % 2 == 0).select("doc_id")).collect()}
+    words = [t.split() for t in texts]
+    pairs = [Counter(zip(["", *ws], ws, strict=False)) for ws in words]
+    v = max(lm_scoring.START, len({w for ws in words for w in ws}))
+    assert v > lm_scoring.START and len(got) == len(texts)
+    for m, name in ((0, "loss_target"), (1, "loss_background")):
+        used = [k for k in range(len(texts)) if m or k * 3 % 2 == 0]
+        one, two = Counter(w for k in used for w in words[k]), Counter()
+        for k in used:
+            two.update(pairs[k])
+        total = sum(one.values())
+        for k in (0, 1, 2, 3, 60, 119):
+            lost = 0.0
+            for (a, b), n in pairs[k].items():
+                own = n if k in used else 0
+                c = two[a, b]
+                lost -= n * np.log((c - own + lm_scoring.MU * (one[b] + 1) / (total + v)) / ((one[a] if a else c) - own + lm_scoring.MU))
+            assert abs(got[3 * k][name] - lost / len(words[k])) < 1e-4
+
+
 def _lower(t):
     return (t or "").replace("Σ", "σ").lower()
 
