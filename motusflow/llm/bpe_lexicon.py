@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, written
-from .encode import CACHE, Encoder, encoder
+from .encode import Cache, Encoder, encoder
 from .pieces import chunks, cut
 
 LEXICON = 65_536
 #: Words a task counts before it passes their counts on.
-HELD = 300_000
+HELD = 150_000
 
 
 def minimal_automaton(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool], int]:
@@ -232,8 +232,7 @@ class Codec:
         for token, i in vocabulary.items():
             self.tokens[i] = token
         self.known: list[tuple | None] = [None] * (len(held.starts) - 1)
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.cache = Cache()
 
     def decode(self, ids) -> str:
         return " ".join([self.tokens[i] for i in ids])
@@ -244,20 +243,18 @@ class Codec:
 
     def entries(self, words: pa.StringArray) -> list[tuple[int, str, str]]:
         out = []
-        young, old, known = self.young, self.old, self.known
+        cache, known = self.cache, self.known
         for k, w in zip(self.lexicon.numbers(words).tolist(), words.to_pylist(), strict=True):
             if k >= 0:
                 e = known[k]
                 if e is None:
                     e = known[k] = self.entry(self.lexicon.ids(k))
             else:
-                e = young.get(w)
+                e = cache.get(w)
                 if e is None:
-                    e = old.get(w) or self.entry(np.frombuffer(self.enc.piece_ids(w), np.int32))
-                    young[w] = e
+                    e = self.entry(np.frombuffer(self.enc.piece_ids(w), np.int32))
+                    cache.put(w, e, 150 + len(e[1]) + len(e[2]))
             out.append(e)
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
         return out
 
     def texts(self, texts: list[str | None]):

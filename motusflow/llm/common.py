@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session has one of its own.
+
+    On a cluster a folder of the driver's machine would be lost on the executors, so there the setting is required.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="motusflow-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -72,3 +77,28 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def count_in(df: DataFrame, most: int) -> bool:
     """Whether the frame has at most ``most`` rows; looks no further than that."""
     return df.limit(most + 1).count() <= most
+
+
+#: Keys that a split join broadcasts at most.
+HOT = 1 << 14
+
+
+def split_join(rows: DataFrame, one: DataFrame, key: str, times: str, total: int, hot: int = HOT) -> DataFrame:
+    """``rows`` inner-joined on ``key`` with ``one``, which has one row a key and, as ``times``, how many of the ``total`` rows hold it.
+
+    A key of more than one of ``hot`` rows (there can be no more than ``hot`` such keys) is broadcast, so its rows stay where they are;
+    the others are shuffled, and none of them fills a task. Both frames are read twice.
+    """
+    often = F.col(times) * F.lit(hot) > F.lit(int(total))
+    held = F.broadcast(one.filter(often).drop(times))
+    rest = rows.join(F.broadcast(one.filter(often).select(key)), key, "left_anti")
+    there = rows.join(held, key)
+    return there.union(rest.join(one.filter(~often).drop(times), key).select(there.columns))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name

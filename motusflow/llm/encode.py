@@ -1,7 +1,7 @@
 """Token ids of whole texts, equal to the tokenizers library's encode(text, add_special_tokens=False).
 
 A byte-pair model merges inside a piece only, so a text's ids are its pieces' ids end to end. Each distinct piece goes
-through the library's model once and is kept in a bounded two-generation cache; the texts are then put together by
+through the library's model once and is kept in a two-generation cache bounded by its bytes; the texts are then put together by
 array operations. A text that holds the string of a special token goes through the library as a whole.
 
 Defined cases: a null text counts as empty and has no ids; texts of any length are encoded whole.
@@ -14,10 +14,33 @@ import unicodedata
 
 import numpy as np
 
-from .pieces import chunks, cut
+from .pieces import chunks, cut, unknown_chars
 
-#: Entries of each of the cache's two generations.
-CACHE = 150_000
+#: Bytes of each of a cache's two generations, and what an entry takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 20_000_000, 200
+
+
+class Cache:
+    """The latest entries by word: when a generation is full it becomes the old one, and the one before it goes."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self.used = limit, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, word: str):
+        got = self.young.get(word)
+        if got is None:
+            got = self.old.get(word)
+            if got is not None:
+                self.put(word, got)
+        return got
+
+    def put(self, word: str, entry, size: int = 0) -> None:
+        self.used += ENTRY_BYTES + len(word) + (size or len(entry))
+        if self.used > self.limit:
+            self.old, self.young, self.used = self.young, {}, 0
+        self.young[word] = entry
 
 
 def byte_chars() -> dict[int, str]:
@@ -46,14 +69,16 @@ class Encoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.to_chars = byte_chars()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = Cache()
 
     def normal(self, text: str) -> str:
         if self.how != "clip":
             return text
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            if unknown_chars()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+                return self.tokenizer.normalizer.normalize_str(text)
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
         return lowered(text)  # white space separates pieces and is dropped, so its folding changes nothing
 
     def piece_ids(self, piece: str) -> bytes:
@@ -61,17 +86,17 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(chars)], np.int32).tobytes()
 
     def looked_up(self, words: list[str]) -> list[bytes]:
-        young, old, out = self.young, self.old, []
+        cache, out = self.cache, []
+        young = cache.young
         for w in words:
             ids = young.get(w)
             if ids is None:
-                ids = old.get(w)
+                ids = cache.get(w)
                 if ids is None:
                     ids = self.piece_ids(w)
-                young[w] = ids
+                    cache.put(w, ids)
+                young = cache.young
             out.append(ids)
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

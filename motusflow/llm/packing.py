@@ -201,5 +201,6 @@ def pack(docs: DataFrame, path: str, how: str = "gpt", end_id: int = 2, capacity
             sequence, offset = row[:, 2] + q // row[:, 3], row[:, 4] + q % row[:, 3] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(each.select("part", "length", "before"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
+    # a (task, length) has a row, so the table grows with the corpus and is merged, not broadcast; a key holds one task's pieces at most
+    ranked = pieces.join(each.select("part", "length", "before").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -19,24 +19,35 @@ import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 #: Code points handled at once, unless one text is longer.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    """Class of each code point: letter, number, Unicode white space or other."""
+    """Class of each code point (letter, number, Unicode white space or other) as the tokenizers library sees it.
+
+    The library's Unicode tables are newer than Python's, so it is asked itself, once a process.
+    """
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    known = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])  # all but surrogates
+    every = known.astype("<u4").tobytes().decode("utf-32-le")
     table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind == "L":
-            table[cp] = LETTER
-        elif kind == "N":
-            table[cp] = NUMBER
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        for _, (a, z) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            table[known[a:z]] = kind
     white = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     table[white] = SPACE
     return table
 
 
+@lru_cache(maxsize=1)
+def unknown_chars() -> np.ndarray:
+    """Whether each code point is one that Python's Unicode tables do not know; the library's may."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``limit`` code points together, with the place of the first."""
     first, held = 0, 0
