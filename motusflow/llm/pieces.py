@@ -22,21 +22,33 @@ OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 CHUNK_CHARS = 1_000_000
 
 
+@lru_cache(maxsize=1)
+def categories() -> np.ndarray:
+    """Python's general category of each code point, by its first letter; ``?`` where Python knows no character."""
+    known = "".join(unicodedata.category(chr(c)) for c in range(0x110000))
+    pairs = np.frombuffer(known.encode(), "S2")
+    return np.where(pairs == b"Cn", b"?", pairs.astype("S1"))
+
+
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     """Class of each code point (letter, number, Unicode white space or other) as the tokenizers library sees it.
 
-    The library's Unicode tables are newer than Python's, so it is asked itself, once a process.
+    The library's Unicode tables are newer than Python's, so it is asked for the code points that Python does not know (planes 4 to
+    13 have never had a character).
     """
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    known = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])  # all but surrogates
-    every = known.astype("<u4").tobytes().decode("utf-32-le")
+    held = categories()
     table = np.zeros(0x110000, np.uint8)
+    table[held == b"L"], table[held == b"N"] = LETTER, NUMBER
+    new = np.flatnonzero(held == b"?")
+    new = new[(new < 0x40000) | (new >= 0xE0000)]
+    text = new.astype("<u4").tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for _, (a, z) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            table[known[a:z]] = kind
+        for _, (a, z) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            table[new[a:z]] = kind
     white = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     table[white] = SPACE
     return table
@@ -45,7 +57,7 @@ def char_classes() -> np.ndarray:
 @lru_cache(maxsize=1)
 def unknown_chars() -> np.ndarray:
     """Whether each code point is one that Python's Unicode tables do not know; the library's may."""
-    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+    return categories() == b"?"
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
