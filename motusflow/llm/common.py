@@ -102,3 +102,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def spread(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """The rows dealt by ``key`` for work on about ``groups`` heavy groups: by their number, as their compressed bytes say little.
+
+    From some thousands of groups on, a task takes several, one after another.
+    """
+    most = max(4000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(2 * groups, most)), key)

@@ -1,17 +1,16 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
 Both models are matched: the same vocabulary (the words by their 64-bit hashes), the same order and the same smoothing,
-P(w|v) = (c(v,w) + MU P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V), where V is the number of distinct words, START at
-least. The target model counts the target documents, the background model counts all. A document's score is its mean loss a
-word under the target model less that under the background model; low means close to the target. A document's own bigram counts
-are left out when it is scored.
-
-A word is frequent if it is more than one of START words of the corpus; so there are at most START frequent words, and their
-counts go to every task. All other counts grow with the corpus and never meet in one place: each task sends its documents'
-bigrams, sorted and packed, to key ranges. A bigram whose second word is frequent goes by the hash of both words; one with a rare
-second word goes by that word, whose count is then the sum of the range's bigrams. The loss has a term of the bigram and the
-second word, and a term of the history c(v): a frequent history is known where the document is, a rare one is asked for in the
-range of that word. A range returns one partial sum for each document; those meet by chunk of documents.
+P(w|v) = (c(v,w) + MU P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V), where V is the number of distinct words, LEAST_V at
+least, and c(v) at the beginning of a text is the number of texts with words. The target model counts the target documents, the
+background model counts all. A document's score is its mean loss a word under the target model less that under the background
+model; low means close to the target. When a document is scored, all its own counts are left out: of its bigrams, its words, N
+and its beginning.
+
+All counts are exact and grow with the corpus; none meet in one place. Documents are taken in chunks. A chunk sends its distinct
+bigrams and words, each once with the chunk's counts, as sorted and compressed blocks to key ranges; the ranges' totals return
+to the chunk, beside its documents as numbers of words, and there every document is scored. A bigram of every document of the
+corpus is thus one entry a chunk, never one a document.
 
 Defined cases: a null or empty text, or one without words, has 0 words and null losses and score; without target documents
 the target model is uniform; rows with equal or null doc_id are scored one by one; other columns are not read.
@@ -21,195 +20,155 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, count_in, written
+from .common import batches, count_in, spread, written
+from .packed import by_range, from_gaps, gaps, packed, range_bits, summed, unpacked
 from .shingles import mixed, word_hashes
 
-VOCAB_BITS = 64
 MU = 8.0
-#: Stands for the beginning of a text as a history; also the bound of the frequent words and the least V.
-START = 1 << 18
-#: Words of a chunk of documents, words of a key range, and rows to broadcast at most.
-CHUNK_WORDS, RANGE_WORDS, SMALL = 1_500_000, 2_000_000, 1_000_000
-
-def _packed(a: np.ndarray) -> bytes:
-    """Bytes by place, then compressed."""
-    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+#: The least V, and what stands for the beginning of a text as a history.
+LEAST_V = START = 1 << 18
+#: Words of a chunk of documents, characters of all texts for each key range, and rows to broadcast at most.
+CHUNK_WORDS, RANGE_CHARS, SMALL = 1_500_000, 16_000_000, 1_000_000
 
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+BLOCKS = "range long, chunk long, {} binary, docs binary, v long, n_target long, n_all long, d_target long, d_all long"
+SENT, BACK = BLOCKS.format("pairs binary, pairs_target binary, pairs_all binary, words binary, words_target binary, words_all"), BLOCKS.format("pairs_target binary, pairs_all binary, words_target binary, words_all")
 
 
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, text and whether the document is in the target; ``target`` holds doc_ids. Broadcast only if small."""
-    ids = target.select(F.col("doc_id").alias("_t")).filter("_t is not null").distinct().withColumn("_hit", F.lit(True))
-    ids = F.broadcast(ids) if count_in(ids, SMALL) else ids
+    ids = target.select(F.col("doc_id").cast("long").alias("_t")).filter("_t is not null").distinct().withColumn("_hit", F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(ids, docs["doc_id"] == ids["_t"], "left").select("doc_id", "text", F.coalesce("_hit", F.lit(False)).alias("target"))
-
+    take = lambda rows, ids: rows.join(ids, rows["doc_id"] == ids["_t"], "left").select("doc_id", "text", F.coalesce("_hit", F.lit(False)).alias("target"))
+    if count_in(ids, SMALL):
+        return take(docs, F.broadcast(ids))
+    bare = docs.filter("doc_id is null").withColumn("target", F.lit(False))  # would all go to one task
+    return take(docs.filter("doc_id is not null"), ids).union(bare)
 
-def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The frequent words in order, their counts (target, all), the totals of both counts, and V."""
 
-    def run(frames):
-        for b in batches(frames):
-            hit = b.column("target").to_numpy(zero_copy_only=False)
-            for first, w, bounds in word_hashes(b.column("text").to_pylist()):
-                seen, place = np.unique(w, return_inverse=True)
-                of = np.repeat(hit[first : first + len(bounds) - 1], np.diff(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(place[of], minlength=len(seen))), pa.array(np.bincount(place, minlength=len(seen)))], names=["w", "t", "b"])
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
-    held = written(docs.mapInArrow(run, "w long, t long, b long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
-    total = held.agg(F.count("*").alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    often = held.filter(F.col("b") * START > total["b"]).toPandas()  # START rows at most
-    w = often["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(w)
-    return w[order], often[["t", "b"]].to_numpy(np.int64).T[:, order], np.array([total["t"], total["b"]]), max(START, total["v"])
 
+def _pairs(w: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word the hash of it and the one before, and whether it begins its text."""
+    ends = np.cumsum(size)
+    begins = np.zeros(len(w), bool)
+    begins[(ends - size)[size > 0]] = True
+    before = np.roll(w, 1)
+    before[begins] = START
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + mixed(w)), begins
 
-def _place(often: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The number of each word among the frequent ones, -1 for the others."""
-    if not len(often):
-        return np.full(len(w), -1)
-    at = np.minimum(np.searchsorted(often, w), len(often) - 1)
-    return np.where(often[at] == w, at, -1)
 
-
-def score(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score."""
-    spark = docs.sparkSession
-    docs = with_target(docs, target)
-    often, counts, totals, vocabulary = word_counts(docs)
-    ranges = 1 << max(6, int(np.ceil(np.log2(max(int(totals[1]), 1) / RANGE_WORDS))))
-    shift = np.uint64(64 - int(np.log2(ranges)))
-    models = spark.sparkContext.broadcast((often, counts))  # START words at most
+def _blocks(docs: DataFrame, bits: int) -> DataFrame:
+    """Chunks of documents as rows for key ranges (SENT); a chunk's documents go as a range of their own, -1 - chunk."""
+    schema = _arrow(SENT)
 
     def deal(frames):
-        chunk = TaskContext.get().partitionId() << 32
-        held: list = []
-        words = 0
+        chunk, held, words = TaskContext.get().partitionId() << 32, [], 0
         for b in batches(frames):
             doc, hit = b.column("doc_id").to_pylist(), b.column("target").to_pylist()
             for first, w, bounds in word_hashes(b.column("text").to_pylist()):
-                held.append((doc[first : first + len(bounds) - 1], hit[first : first + len(bounds) - 1], w, np.diff(bounds)))
+                last = first + len(bounds) - 1
+                held.append((doc[first:last], hit[first:last], w, np.diff(bounds)))
                 words += len(w)
-            if words >= CHUNK_WORDS:
-                yield closed(chunk, held)
-                chunk, held, words = chunk + 1, [], 0
+                if words >= CHUNK_WORDS:
+                    yield closed(chunk, held)
+                    chunk, held, words = chunk + 1, [], 0
         if held:
             yield closed(chunk, held)
 
     def closed(chunk, held):
-        often, counts = models.value
         ids = [x for h in held for x in h[0]]
-        hit = np.array([x for h in held for x in h[1]], np.int64)
-        w = np.concatenate([h[2] for h in held])
-        size = np.concatenate([h[3] for h in held])
-        ends = np.cumsum(size)
-        v, start = np.roll(w, 1), np.zeros(len(w), bool)
-        start[(ends - size)[size > 0]] = True
-        v[start] = START
-        doc = np.repeat(np.arange(len(size)), size)
-        pair = mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w))
-        order = np.lexsort((doc, pair))
-        pair, doc, v, w, start = pair[order], doc[order], v[order], w[order], start[order]
-        heads = np.flatnonzero((np.diff(pair, prepend=~pair[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
-        n = np.diff(np.append(heads, len(pair)))
-        pair, doc, v, w, start = pair[heads], doc[heads], v[heads], w[heads], start[heads]
-        second, first = _place(often, w), np.where(start, -1, _place(often, v))
-        # frequent histories are known here
-        base = np.zeros((2, len(size)))
-        known = first >= 0
-        for model, own in ((0, n * hit[doc]), (1, n)):
-            base[model] = np.bincount(doc[known], np.log(counts[model][first[known]] - own[known] + MU) * n[known], len(size))
-        tag = doc << 2 | start << 1 | hit[doc]
-        asked = ~known & ~start
-        kinds = [np.flatnonzero(second >= 0), np.flatnonzero(second < 0), np.flatnonzero(asked)]
-        keys = [pair, mixed(w), mixed(v)]
-        rows = {x: [] for x in DEALT.names}
-        cut = []
-        for kind, (some, key) in enumerate(zip(kinds, keys, strict=True)):
-            key = key[some]
-            order = np.argsort(key, kind="stable")
-            some, key = some[order], key[order]
-            cut.append((some, key, np.searchsorted(key >> shift, np.arange(ranges, dtype=np.uint64)).tolist() + [len(key)]))
-        for k in range(ranges):
-            for kind, (some, key, at) in enumerate(cut):
-                a, z = at[k], at[k + 1]
-                whole = k == 0 and kind == 0
-                if a == z and not whole:
-                    continue
-                i = some[a:z]
-                # frequent: the second word's number; rare: the pair; asked: nothing
-                more = second[i].astype("<u4") if kind == 0 else pair[i].astype("<u8") if kind == 1 else np.zeros(0, "<u4")
-                row = (k, kind, chunk, _packed(np.diff(key[a:z], prepend=np.uint64(k) << shift).astype("<u8")), _packed(tag[i].astype("<u4")), _packed(n[i].astype("<u4")), _packed(more))
-                row = (*row, *((np.array([x or 0 for x in ids], "<i8").tobytes(), np.packbits([x is None for x in ids]).tobytes(), size.astype("<i8").tobytes(), base.tobytes()) if whole else (None,) * 4))
-                for name, x in zip(DEALT.names, row, strict=True):
-                    rows[name].append(x)
-        return pa.RecordBatch.from_pydict(rows, DEALT)
-
-    def losses(t: pa.Table) -> pa.Table:
-        _, counts = models.value
-        base = np.uint64(t.column("range")[0].as_py()) << shift
-        rows = t.select(["kind", "chunk", "gaps", "docs", "n", "more"]).to_pylist()
-        parts: list[list] = [[], [], []]
-        for i, r in enumerate(rows):
-            key, tag, n = np.cumsum(_unpacked(r["gaps"], "<u8"), dtype=np.uint64) + base, _unpacked(r["docs"], "<u4").astype(np.int64), _unpacked(r["n"], "<u4").astype(np.int64)
-            parts[r["kind"]].append((key, tag, n, np.full(len(n), i), _unpacked(r["more"], "<u8" if r["kind"] == 1 else "<u4")))
-        often, rare, asked = ([np.concatenate(c) for c in zip(*p, strict=True)] if p else [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)] for p in parts)
-        words, word = np.unique(rare[0], return_inverse=True)  # each use of a rare word is in a bigram that ends with it
-        spoken = [np.bincount(word, own, len(words)) for own in (rare[2] * (rare[1] & 1), rare[2])]
-        all_docs, all_lost, all_owner = [], [[], []], []
-        for (key, tag, n, owner, more), of in ((often, None), (rare, word)):
-            # rare words are few in each range, so bigrams are told apart by the pair's hash
-            _, pair = np.unique(key if of is None else more, return_inverse=True)
-            for model, own in ((0, n * (tag & 1)), (1, n)):
-                total = np.bincount(pair, own)[pair] if len(pair) else np.zeros(0)
-                c = counts[model][more.astype(np.int64)] if of is None else spoken[model][of]
-                rest = total - own  # a document's own bigrams do not speak for it
-                lost = -np.log(rest + MU * (c + 1.0) / (totals[model] + vocabulary))
-                # the beginning of a text has been seen as often as its bigrams say
-                lost += np.where(tag & 2, np.log(rest + MU), 0)
-                all_lost[model].append(lost * n)
-            all_docs.append(tag >> 2)
-            all_owner.append(owner)
-        key, tag, n, owner, _ = asked
-        at = np.searchsorted(words, key)
-        for model, own in ((0, n * (tag & 1)), (1, n)):
-            all_lost[model].append(np.log(spoken[model][at] - own + MU) * n if len(at) else np.zeros(0))
-        all_docs.append(tag >> 2)
-        all_owner.append(owner)
-        place = np.concatenate(all_owner).astype(np.int64) << 32 | np.concatenate(all_docs).astype(np.int64)
-        place, at = np.unique(place, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate(x), len(place)) for x in all_lost]
-        owner, local = place >> 32, (place & 0xFFFFFFFF).astype("<u4")
-        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        partial = [(_packed(local[a:z]), np.stack([s[a:z] for s in sums]).astype("<f4").tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        names = ["ids", "nulls", "sizes", "base"]
-        return pa.table([t.column("chunk"), pa.array([p[0] for p in partial], pa.binary()), pa.array([p[1] for p in partial], pa.binary()), *(t.column(x) for x in names)], names=["chunk", "local", "sums", *names])
-
-    def gathered(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        head = next(r for r in rows if r["ids"] is not None)
-        ids, size = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["sizes"], "<i8")
-        none = np.unpackbits(np.frombuffer(head["nulls"], np.uint8))[: len(ids)].astype(bool)
-        total = np.frombuffer(head["base"]).reshape(2, -1).copy()
-        for r in rows:
-            at = _unpacked(r["local"], "<u4").astype(np.int64)
-            total[:, at] += np.frombuffer(r["sums"], "<f4").reshape(2, -1)
-        bare = size == 0
-        mean = total / np.maximum(size, 1)
-        return pa.table([pa.array(ids, mask=none), pa.array(size), pa.array(mean[0], mask=bare), pa.array(mean[1], mask=bare), pa.array(mean[0] - mean[1], mask=bare)], names=["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    dealt = docs.mapInArrow(deal, "range int, kind int, chunk long, gaps binary, docs binary, n binary, more binary, ids binary, nulls binary, sizes binary, base binary")
-    part = dealt.groupBy("range").applyInArrow(losses, "chunk long, local binary, sums binary, ids binary, nulls binary, sizes binary, base binary")
-    return part.groupBy("chunk").applyInArrow(gathered, "doc_id long, n_words long, loss_target double, loss_background double, score double")
-
-
-DEALT = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("gaps", "docs", "n", "more", "ids", "nulls", "sizes", "base"))])
+        hit = np.array([x for h in held for x in h[1]], bool)
+        w, size = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        of = np.repeat(hit, size)
+        words, code = np.unique(w, return_inverse=True)
+        pairs, place = np.unique(_pairs(w, size)[0], return_inverse=True)
+        rows: dict[int, dict] = {}
+        for name, keys, at in (("pairs", pairs, place), ("words", words, code)):
+            every, target = (np.bincount(x, minlength=len(keys)).astype("<u4") for x in (at, at[of]))
+            for k, a, z in by_range(keys, bits):
+                rows.setdefault(k, {}).update({name: gaps(keys[a:z]), f"{name}_target": packed(target[a:z]), f"{name}_all": packed(every[a:z])})
+        whole = [np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8), hit.astype(np.uint8), size.astype("<i8"), words, code.astype("<u4")]
+        parts = [packed(x) for x in whole]
+        spoken = size > 0
+        head = {
+            "docs": np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts),
+            "v": 0,
+            "n_target": int(size[hit].sum()),
+            "n_all": int(size.sum()),
+            "d_target": int((spoken & hit).sum()),
+            "d_all": int(spoken.sum()),
+        }
+        out = [{"range": -1 - chunk, "chunk": chunk} | head, *({"range": k, "chunk": chunk} | r for k, r in rows.items())]
+        return pa.RecordBatch.from_pylist(out, schema)
+
+    return docs.mapInArrow(deal, SENT)
+
+
+def _totals(t: pa.Table) -> pa.Table:
+    """One range: every block's keys with their totals over all blocks, and once the number of distinct words."""
+    if t.column("range")[0].as_py() < 0:
+        return t.select(_arrow(BACK).names)
+    rows = t.to_pylist()
+    out = [{"range": r["range"], "chunk": r["chunk"], "v": 0} for r in rows]
+    for name in ("pairs", "words"):
+        some = [i for i, r in enumerate(rows) if r[name] is not None]
+        keys = [from_gaps(rows[i][name]) for i in some]
+        distinct, totals = summed(keys, *([unpacked(rows[i][f"{name}_{model}"], "<u4") for i in some] for model in ("target", "all")))
+        for model, total in zip(("target", "all"), totals, strict=True):
+            for i, one in zip(some, total, strict=True):
+                out[i][f"{name}_{model}"] = packed(one.astype("<u8"))
+        if name == "words":
+            out[0]["v"] = distinct
+    return pa.Table.from_pylist(out, _arrow(BACK))
+
+
+def _scored(t: pa.Table, v: int, n: dict[str, int], d: dict[str, int]) -> pa.Table:
+    """One chunk: its documents, scored with the totals that came back."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["range"])
+    data, at, parts = rows[0]["docs"], 48, []
+    for length, kind in zip(np.frombuffer(data, "<i8", 6).tolist(), ("<i8", "<u1", "<u1", "<i8", "<u8", "<u4"), strict=True):
+        parts.append(unpacked(data[at : at + length], kind))
+        at += length
+    ids, none, hit, size, words, code = parts
+    hit, code = hit.astype(bool), code.astype(np.int64)
+    pair, begins = _pairs(words[code], size)
+    pairs, place = np.unique(pair, return_inverse=True)
+    doc = np.repeat(np.arange(len(size)), size)
+
+    def own(at: np.ndarray, kinds: int) -> np.ndarray:
+        """How often the document of each word has that word, or pair."""
+        _, which, times = np.unique(doc * kinds + at, return_inverse=True, return_counts=True)
+        return times[which]
+
+    own_pair, own_word = own(place, len(pairs)), own(code, len(words))
+    mean = []
+    for model in ("target", "all"):
+        held = {name: np.concatenate([np.zeros(0, "<u8"), *(unpacked(r[f"{name}_{model}"], "<u8") for r in rows[1:] if r[f"{name}_{model}"] is not None)]).astype(np.int64) for name in ("pairs", "words")}
+        speaks = hit if model == "target" else np.ones(len(hit), bool)
+        mine = np.repeat(speaks, size)
+        spoken = held["words"][code] - own_word * mine
+        history = np.roll(spoken, 1)
+        history[begins] = d[model] - mine[begins]
+        single = (spoken + 1.0) / (n[model] - np.repeat(speaks * size, size) + v)
+        lost = -np.log((held["pairs"][place] - own_pair * mine + MU * single) / (history + MU))
+        mean.append(np.bincount(doc, lost, len(size)) / np.maximum(size, 1))
+    bare = size == 0
+    return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(size), pa.array(mean[0], mask=bare), pa.array(mean[1], mask=bare), pa.array(mean[0] - mean[1], mask=bare)], names=["doc_id", "n_words", "loss_target", "loss_background", "score"])
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score."""
+    docs = with_target(docs, target)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = range_bits(chars, RANGE_CHARS)
+    back = written(spread(_blocks(docs, bits), "range", 1 + chars // RANGE_CHARS).groupBy("range").applyInArrow(_totals, BACK), "totals", "none")
+    sums = back.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n_target", "n_all", "d_target", "d_all"))).first()
+    v, n, d = max(LEAST_V, sums["v"]), *({"target": sums[f"{x}_target"], "all": sums[f"{x}_all"]} for x in "nd")
+    return spread(back, "chunk", 1 + chars // (6 * CHUNK_WORDS)).groupBy("chunk").applyInArrow(lambda t: _scored(t, v, n, d), "doc_id long, n_words long, loss_target double, loss_background double, score double")
