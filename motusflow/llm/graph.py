@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating star operations (Kiveris et al. 2014), as joins and aggregates.
 
 No task and no driver holds more than its share of the links: a node of very many links is only ever reduced by a minimum
-that is combined before the shuffle, and joined back by an equi-join that adaptive execution can split.
+that is combined before the shuffle, and that minimum comes back to its links by a broadcast of few rows, so they stay in place.
 """
 
 from __future__ import annotations
@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import split_join, written
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour."""
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node is linked to the node's smallest neighbour. n: links."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).select("u", F.least("u", "m").alias("m"), "times")
+    return split_join(both.filter("v > u"), low, "u", "times", 2 * n).select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of them. n: an upper bound of the links' number, or near it."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter("v <> m").select(F.col("m").alias("u"), "v")
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+    moved = split_join(down, low, "u", "times", n).filter("v <> m").select(F.col("m").alias("u"), "v")
     return moved.union(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
 
 
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if (now["n"], now["h"]) == mark or not now["n"]:
             break
         mark = (now["n"], now["h"])
-        e = written(_small_star(_large_star(e)), "links")
+        large = written(_large_star(e, now["n"]), "links")
+        e = written(_small_star(large, now["n"]), "links")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
