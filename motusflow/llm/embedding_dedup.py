@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
 Vectors are scaled to length 1 and turned to the principal axes of the whole table. Sorted by the first axis they are packed
-into blocks; blocks whose intervals on that axis are too far apart are never paired. Within a pair of blocks, tiles are compared
+into blocks of some megabytes; blocks and tiles whose intervals on that axis are too far apart are never paired. As blocks are in
+order, each has its partners in one stretch, and what moves is a block for each of its partners, so large blocks keep that small.
+Within a pair of blocks, tiles are compared
 on the leading axes first: the norms of what is left bound the rest of the product, so a tile (then a row or column of it) is
 given up as soon as no cosine can reach the threshold. What survives is decided by the full product of the original vectors in
 double precision. A pair of blocks returns link counts and one label a vector, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and stand alone;
-vectors of different lengths are not compared; equal vectors are compared once and counted as often as they occur; rows with one
-vec_id are one vector; a null vec_id stands alone; an empty table gives no rows; other columns are not read.
+vectors of different lengths are not compared; equal vectors are compared once and counted as often as they occur; rows equal in
+vec_id and vector are one vector, rows of one vec_id with different vectors are vectors of their own; a null vec_id stands alone; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import split_join, written
 from .graph import components
 
 THRESHOLD = 0.9
-#: Vectors of a block, and of a tile within a pair of blocks.
-BLOCK, TILE = 4096, 512
+#: Bytes of a block, vectors of a tile within a pair of blocks, and copies of vectors that are broadcast at most.
+BLOCK_BYTES, TILE, HOT = 4_000_000, 512, 4096
 #: Shares of the axes after which a bound is taken.
 STAGES = (0.25, 0.6)
 SLACK = 1e-4
@@ -70,7 +73,8 @@ BLOCKS = "block long, low double, high double, ids binary, weights binary, data
 
 
 def blocks(vectors: DataFrame, axes: np.ndarray) -> DataFrame:
-    """Blocks of up to BLOCK vectors (rep, n, embedding), in order of the first axis."""
+    """Blocks of vectors (rep, n, embedding), in order of the first axis."""
+    size = max(1, BLOCK_BYTES // (4 * len(axes)))
 
     def first_axis(frames):
         for b in frames:
@@ -82,10 +86,10 @@ def blocks(vectors: DataFrame, axes: np.ndarray) -> DataFrame:
         for b in frames:
             held.append(b)
             n += b.num_rows
-            while n >= BLOCK:
+            while n >= size:
                 t = pa.Table.from_batches(held)
-                yield out(part << 32 | k, t.slice(0, BLOCK))
-                held, n, k = t.slice(BLOCK).to_batches(), n - BLOCK, k + 1
+                yield out(part << 32 | k, t.slice(0, size))
+                held, n, k = t.slice(size).to_batches(), n - size, k + 1
         if n:
             yield out(part << 32 | k, pa.Table.from_batches(held))
 
@@ -99,13 +103,16 @@ def blocks(vectors: DataFrame, axes: np.ndarray) -> DataFrame:
     wide = vectors.schema["embedding"].dataType.elementType.simpleString() == "double"
     kind = vectors.schema["embedding"].dataType.simpleString()
     # so many ranges that each fills blocks; a table without many vectors needs few
-    ranges = max(1, min(10_000, vectors.count() // BLOCK))
+    ranges = max(1, vectors.count() // size)
     rows = vectors.select("rep", "n", "embedding").mapInArrow(first_axis, f"rep long, n long, embedding {kind}, y double")
     return rows.repartitionByRange(ranges, "y").sortWithinPartitions("y", "rep").mapInArrow(run, BLOCKS)
 
 
 def _tile_links(a: np.ndarray, z: np.ndarray, ya: list[np.ndarray], yz: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Rows, columns and the links among them (a boolean matrix) of one tile; nothing if no cosine can reach the threshold."""
+    reach = np.sqrt(2 - 2 * threshold) + SLACK
+    if ya[0][:, 0].min() - yz[0][:, 0].max() > reach or yz[0][:, 0].min() - ya[0][:, 0].max() > reach:
+        return None
     rows, cols = None, None
     for pa_, pz in zip(ya, yz, strict=True):
         pa_, pz = (pa_, pz) if rows is None else (pa_[rows], pz[cols])
@@ -169,9 +176,11 @@ def _labels(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     spark = table.sparkSession
-    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = table.filter(usable() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    folded = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    rows = written(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding")), "table")
+    good = rows.filter("embedding is not null")
+    # n: vectors that are equal; times: rows that hold them; rep: a number for them
+    folded = good.groupBy("embedding", "vec_id").agg(F.count("*").alias("times")).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.sum("times").alias("times"))
+    folded = written(folded.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     wide = table.schema["embedding"].dataType.elementType.simpleString() == "double"
     found = None
     for width in sorted(r["w"] for r in folded.select(F.size("embedding").alias("w")).distinct().collect()):  # lengths, not vectors
@@ -184,27 +193,30 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     found = written(found, "linked")
     direct = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("label").alias("v"))).withColumnRenamed("node", "rep")
-    reps = folded.join(direct, "rep", "left").join(groups, "rep", "left")
-    reps = reps.select("embedding", "rep", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = table.withColumn("_key", F.when(usable() & F.col("vec_id").isNotNull(), F.col("embedding")))
-    out = rows.join(reps.withColumnRenamed("embedding", "_key"), "_key", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    small = folded.select("rep", "first", "n").join(direct, "rep", "left").join(groups, "rep", "left")
+    small = written(small.select("rep", "first", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "reps")
+    heads = small.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("times"))
+    small = split_join(small.select("rep", "n_links", "component"), heads, "component", "times", small.count())
+    reps = folded.select("rep", "embedding", "times").join(small.select("rep", "n_links", "component_id"), "rep").drop("rep")
+    out = split_join(good, reps, "embedding", "times", good.count(), HOT).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    bare = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(bare).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _linked(held: DataFrame, axes, wide: bool, threshold: float) -> DataFrame:
     """rep, n_links, label: for each pair of blocks, each vector with its links there and one it is connected with."""
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # unit vectors of such a cosine differ by no more on any axis
-    spans = held.select("block", "low", "high")
-    cells = F.sequence(F.floor(F.col("low") / reach), F.floor(F.col("high") / reach))
-    left = spans.withColumn("cell", F.explode(cells)).select(F.col("block").alias("a"), F.col("high").alias("high_a"), F.col("low").alias("low_a"), "cell")
-    near = F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1))))
-    right = spans.withColumn("cell", F.explode(cells)).withColumn("cell", near).select(F.col("block").alias("z"), F.col("high").alias("high_z"), F.col("low").alias("low_z"), "cell").distinct()
-    pairs = left.join(right, "cell").filter(f"a <= z and low_z - high_a <= {reach} and low_a - high_z <= {reach}").select("a", "z").distinct()
+    # blocks are in order, so those that a block can reach are the next ones up to the last that begins within reach of its end,
+    # which is no later than the next block's beginning; one row a block, some megabytes of vectors each
+    order = W.orderBy("low", "block")
+    upto = F.expr(f"count(*) over (order by low range between unbounded preceding and {reach!r}D following)")
+    spans = held.select("block", "low").withColumn("place", F.row_number().over(order)).withColumn("upto", upto)
+    spans = written(spans.withColumn("last", F.coalesce(F.lead("upto").over(order), F.col("place"))).select("block", "place", F.greatest("last", "place").cast("int").alias("last")), "spans")
+    pairs = spans.select(F.col("block").alias("a"), F.explode(F.sequence("place", "last")).alias("place")).join(spans.select(F.col("block").alias("z"), "place"), "place").select("a", "z")
     side = lambda x: held.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("weights").alias(f"weights_{x}"), F.col("data").alias(f"data_{x}"))
-    rows = pairs.join(side("a"), "a").join(side("z"), "z")
+    rows = pairs.join(side("a").hint("merge"), "a").join(side("z").hint("merge"), "z")
     # a row holds two whole blocks, so partitions are made by rows, not by the bytes Spark expects of them
-    rows = rows.repartition(F.xxhash64("a", "z"))
+    rows = rows.repartition(max(1, min(held.count() ** 2, 10_000)), F.xxhash64("a", "z"))
 
     def run(frames):
         for b in frames:
