@@ -1,8 +1,12 @@
 """Threshold-scaled sketches: every shingle hash below a fixed share of the hash space is kept.
 
 The kept hashes of a union are the union of the kept hashes, so sketches merge, and the share of one sketch found in
-another estimates containment however unequal the two documents are. A fingerprint is the sorted hashes as hex digits. So
-that a short text is not blank, one with shingles but none under the threshold keeps its lowest hash alone.
+another estimates containment however unequal the two documents are. A fingerprint is the sorted hashes as hex digits.
+
+A short text may have no hash under the threshold. So that it is not blank, its sketch is its lowest hash, which is known for
+such a stand-in by being over the threshold. Merging leaves stand-ins out beside kept hashes and else takes the lower one, so the
+merged sketch of any two texts is the sketch of both. Two stand-ins are alike 1 if equal and else 0; a stand-in has nothing in
+common with kept hashes.
 
 Each document is also compared with the next one in ascending doc_id and with an edited copy of itself. Texts move once:
 rows are dealt into ranges of doc_id, every range also gets the row that follows it, and a sorted range is read as a stream.
@@ -31,7 +35,7 @@ RANGE_DOCS, RANGES = 1000, 100_000
 
 
 def kept(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """The sketch: distinct hashes below the threshold, in order; else the lowest."""
+    """The sketch: distinct hashes below the threshold, in order; if there are none, the lowest as a stand-in."""
     low = hashes[hashes < np.uint64(2**64 // scale)]
     return np.unique(low) if len(low) or not len(hashes) else hashes.min(keepdims=True)
 
@@ -48,13 +52,13 @@ def read_in(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merged(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of both documents together."""
-    return np.union1d(a, b)
+    return kept(np.concatenate([a, b]), scale)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the smaller sketch that is in the other one."""
+    """The share of the smaller sketch that is in the other one. A stand-in is over the threshold, so only a stand-in can equal it."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
