@@ -3,11 +3,11 @@ kernel ridge regression, scored by batched matrix products.
 
 A text is the set of its character n-grams of 1 to N letters (case folded, other characters as blanks), hashed to
 ``1 << BITS`` places. The kernel of two texts is the size of the common set over the root of the product of the sizes. The
-classifier is fitted on a bounded sample, PER_LANGUAGE labelled documents of each language taken by the hash of doc_id, of
+classifier is fitted on a bounded sample, PER_LANGUAGE labelled documents of each language taken by the hash of doc_id and text, of
 which LANDMARKS are landmarks; everything is predicted from whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; documents with a null lang or doc_id are never
-learned from; without labelled documents all are ``und``; ties go to the first language by name; rows with equal doc_id are
+learned from, and rows equal in doc_id and text once; without labelled documents all are ``und``; ties go to the first language by name; rows with equal doc_id are
 predicted one by one; other columns are not read by ``predicted`` and pass through ``identified``.
 """
 
@@ -63,9 +63,13 @@ def held_out():
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Presence rows, language numbers and languages of the training sample; at most ``per_language`` rows of each."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang", rank.alias("rank")).filter(F.col("rank") <= per_language)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # per_language ids a language
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    keys = known.select("lang", "key").distinct()  # rows equal in doc_id and text count once
+    for share in (F.pmod("key", F.lit(64)), F.lit(0)):  # first the lowest of each share, so that no task ranks a language's rows alone
+        rank = F.row_number().over(W.partitionBy("lang", share).orderBy("key")).alias("rank")
+        keys = keys.select("lang", "key", rank).filter(F.col("rank") <= per_language)
+    rows = known.join(F.broadcast(keys), ["lang", "key"])  # per_language keys a language
+    rows = rows.groupBy("lang", "rank").agg(F.first("text").alias("text"))
 
     def run(frames):
         for b in batches(frames):
