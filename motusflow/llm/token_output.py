@@ -5,7 +5,9 @@ File format, a folder that Spark's committed Parquet writer fills, so a lost exe
 * ``codebook``: one row, the longest code in bits and one length (a byte) for each id. The canonical code follows from it.
 * ``blocks``: independent blocks in ascending doc_id order. Each row has its file and block number, the ids of its file
   before it, the documents in it (doc_id, whether that is null, number of ids), the code bits (first bit highest) and
-  the bit offset of every ``EVERY``-th id. Decoding starts at any of those offsets and looks 16 bits up at once.
+  the bit offset of every ``EVERY``-th id. Decoding starts at any of those offsets and looks the longest code's bits up at once.
+
+Codes have at most MAX_BITS bits, or as many as it takes to tell the used ids apart, if those are more.
 
 Defined cases: a null or empty text has the end id alone; documents with equal or null doc_id keep separate rows (nulls
 first); an empty table gives an empty result; other columns of the input are not read.
@@ -31,14 +33,13 @@ SMALL = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits (package-merge); 0 where an id does not occur."""
+    """Optimal code lengths of at most ``limit`` bits, or of as many as the used ids need (package-merge); 0 where an id does not occur."""
     out = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids have no code of {limit} bits")
+    limit = max(limit, int(np.ceil(np.log2(len(used)))))
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.float64)
     merged, singles = weights, [np.ones(len(order), bool)]
@@ -92,7 +93,8 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
 
 
 def decode_table(lengths: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of the next ``bits`` bits: the id and its code length."""
+    """For each value of the next ``bits`` bits, no fewer than the longest code has: the id and its code length."""
+    bits = max(bits, int(lengths.max(initial=0)))
     codes = canonical_codes(lengths)
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
@@ -108,8 +110,9 @@ def decode_table(lengths: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray,
 def unpack_bits(data: bytes, n: int, marks: np.ndarray, table: tuple[np.ndarray, np.ndarray], every: int = EVERY) -> np.ndarray:
     """The n ids of a block; all stretches between stored offsets advance together."""
     ids, size = table
-    b = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    three = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    bits = len(ids).bit_length() - 1  # up to 24: four bytes hold them from any bit on
+    b = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    four = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
     at = marks.astype(np.int64)
     out = np.zeros((every, len(at)), np.int32)
     whole = n // every
@@ -118,7 +121,7 @@ def unpack_bits(data: bytes, n: int, marks: np.ndarray, table: tuple[np.ndarray,
         if not lanes:
             break
         p = at[:lanes]
-        seen = (three[p >> 3] >> (8 - (p & 7)).astype(np.uint32)) & 0xFFFF
+        seen = (four[p >> 3] << (p & 7).astype(np.uint32)) >> np.uint32(32 - bits)
         out[k, :lanes] = ids[seen]
         p += size[seen]
     return out.T.reshape(-1)[:n]
@@ -158,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, how: str = "clip", end_id: int = 1,
     counts = np.zeros(int(held["id"].max()) + 1 if len(held) else 1, np.int64)
     counts[held["id"].to_numpy(np.int64)] = held["count"].to_numpy(np.int64)
     lengths = code_lengths(counts)
-    spark.createDataFrame([(MAX_BITS, bytearray(lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
+    spark.createDataFrame([(max(MAX_BITS, int(lengths.max())), bytearray(lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
     codes, wide = canonical_codes(lengths), len(counts) > 65536
 
     def run(frames):
