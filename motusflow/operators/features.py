@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,43 +95,41 @@ def spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
 def detect_peaks(x, height: float | None = None, distance: int = 1, threshold: float = 0, edge: str | None = "rising", keep_same: bool = False, valley: bool = False) -> np.ndarray:
     """Places of local maxima (or minima). The ends are none, nor are missing values and their neighbours.
 
-    edge: which end of a flat top counts (``rising``, ``falling``, ``both``; None: only single samples). Among peaks nearer than
-    ``distance`` the higher one stays (with ``keep_same``, equal ones too).
+    The series is read as runs of equal values. ``edge`` says which sample of a run counts: ``rising`` the first one, if the run is
+    above what comes before it (a single sample also above what follows), ``falling`` the last one, if the run is above what follows,
+    ``both`` either, None single samples only. Among peaks no further apart than ``distance`` the higher one stays, the first of equal
+    ones (with ``keep_same`` all of them).
     """
-    x = np.asarray(x, float)
+    if edge not in (None, "", "rising", "falling", "both"):
+        raise ValueError(f"unknown edge {edge}")
+    x = np.asarray(x, float) * (-1.0 if valley else 1.0)
     if len(x) < 3:
         return np.zeros(0, np.int64)
-    x = -x if valley else x
-    gone = np.isnan(x)
-    step = np.diff(np.where(gone, np.inf, x))
-    step[np.isnan(step)] = np.inf
-    before, after = np.append(0, step), np.append(step, 0)
-    found = np.zeros(len(x), bool)
-    if edge is None:
-        found = (after < 0) & (before > 0)
-    else:
-        if edge in ("rising", "both"):
-            found |= (after <= 0) & (before > 0)
-        if edge in ("falling", "both"):
-            found |= (after < 0) & (before >= 0)
-    if gone.any():
-        near = gone.copy()
-        near[1:] |= gone[:-1]
-        near[:-1] |= gone[1:]
-        found &= ~near
-    found[[0, -1]] = False
-    at = np.flatnonzero(found)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # a missing value is a run of its own
+    last = np.append(first[1:], len(x)) - 1
+    value = x[first]
+    up = np.concatenate([[False], value[1:] > x[first[1:] - 1]])
+    down = np.concatenate([value[:-1] > x[last[:-1] + 1], [False]])
+    flat = last > first
+    places = [first[up & down & ~flat]]
+    if edge in ("rising", "both"):
+        places.append(first[up & flat])
+    if edge in ("falling", "both"):
+        places.append(last[down & flat])
+    at = np.unique(np.concatenate(places))
+    at = at[(at > 0) & (at < len(x) - 1)]
+    sides = np.minimum(x[at] - x[at - 1], x[at] - x[at + 1])  # missing beside a missing value
+    at = at[sides >= threshold] if threshold > 0 else at[~np.isnan(sides)]
     if height is not None:
         at = at[x[at] >= height]
-    if threshold > 0 and len(at):
-        at = at[np.minimum(x[at] - x[at - 1], x[at] - x[at + 1]) >= threshold]
-    if distance > 1 and len(at):
-        kept: list[int] = []
-        for i in at[np.argsort(-x[at], kind="stable")]:
-            if not any(abs(i - k) <= distance and (x[k] > x[i] if keep_same else True) for k in kept):
-                kept.append(int(i))
-        at = np.sort(np.array(kept, np.int64))
-    return at
+    if distance <= 1:
+        return at
+    kept: list[int] = []  # in order of place
+    for i in at[np.argsort(-x[at], kind="stable")].tolist():
+        near = kept[bisect_left(kept, i - distance) : bisect_right(kept, i + distance)]
+        if not any(x[k] > x[i] or not keep_same for k in near):
+            insort(kept, i)
+    return np.array(kept, np.int64)
 
 
 def frequency_features(x: np.ndarray, rate: float, top: int = 1) -> list[float]:
@@ -196,6 +196,17 @@ def spectral_peaks(rows: DataFrame, by: Sequence[str], column: str, rate: str =
     return packed.mapInArrow(run, f"{schema}, rank long, power double, freq double")
 
 
+def peaks(rows: DataFrame, keys: Sequence[str], column: str, time: str = "t_ms", **options) -> DataFrame:
+    """The rows at peaks of ``column`` in the time order of each key, with any options of ``detect_peaks``."""
+
+    def run(p):
+        p = p.sort_values(time, kind="stable")
+        at = detect_peaks(p[column].to_numpy(float), **options)
+        return pd.DataFrame({c: p[c].to_numpy()[at] for c in p.columns})
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
 def sampling_rate(points: DataFrame, keys: Sequence[str], time: str = "t_ms") -> DataFrame:
     """Samples a second: the most frequent count of a whole second, the smallest on a tie; first and last second do not count."""
     second = F.floor(F.col(time) / 1000)

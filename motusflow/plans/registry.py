@@ -48,6 +48,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in kinds.items()))
 
 
+def rounded_alike(df: DataFrame) -> DataFrame:
+    """Doubles to six places by arithmetic on the double alone, which every engine does alike."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if k == "double" else F.col(c) for c, k in kinds.items()))
+
+
 # ---------------------------------------------------------------- the views' dimension tables
 
 
@@ -597,9 +603,9 @@ e AS (SELECT pid, sid, min(t_ms) AS a, max(t_ms) AS z, CAST(ceil((max(t_ms) - mi
 g AS (SELECT pid, sid, k, a + k * ((z - a) / (n - 1)::DOUBLE) AS g, z FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM e)),
 l AS (SELECT g.pid, g.sid, g.k, g.g, s.t_ms::DOUBLE AS t0, s.seg AS s0, s.x AS x0, s.y AS y0, s.z AS z0 FROM g ASOF JOIN (SELECT *, t_ms::DOUBLE AS t FROM s) s ON s.pid = g.pid AND s.sid = g.sid AND g.g >= s.t WHERE g.g < g.z),
 b AS (SELECT l.*, r.t AS t1, r.seg AS s1, r.x AS x1, r.y AS y1, r.z AS z1 FROM l ASOF LEFT JOIN (SELECT *, t_ms::DOUBLE AS t FROM s) r ON r.pid = l.pid AND r.sid = l.sid AND l.g <= r.t)
-SELECT pid, sid, k, CAST(floor(g) AS BIGINT) AS t_ms, {", ".join(f"round(CASE WHEN t0 = g THEN {a}0 WHEN s0 = s1 THEN {a}0 + ({a}1 - {a}0) * (g - t0) / (t1 - t0) END, 6) + 0.0e0 AS {a}" for a in "xyz")} FROM b""")
+SELECT pid, sid, k, CAST(floor(g) AS BIGINT) AS t_ms, {", ".join(f"floor((CASE WHEN t0 = g THEN {a}0 WHEN s0 = s1 THEN {a}0 + ({a}1 - {a}0) / (t1 - t0) * (g - t0) END) * 1e6 + 0.5e0) / 1e6 AS {a}" for a in "xyz")} FROM b""")
 def resample_linear(spark, sf):
-    return rounded(signal.resampled(views.dense(spark, sf), _GRID))
+    return rounded_alike(signal.resampled(views.dense(spark, sf), _GRID))
 
 
 @_query()
