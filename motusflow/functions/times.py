@@ -30,3 +30,8 @@ def from_ms(ms: str) -> Column:
 def floor_to(ms: str | Column, step: int) -> Column:
     ms = F.col(ms) if isinstance(ms, str) else ms
     return (ms - F.pmod(ms, F.lit(step))).cast("long")
+
+
+def now_text(form: str = "yyyyMMddHHmmss") -> Column:
+    """The wall clock as text."""
+    return F.date_format(F.current_timestamp(), form)

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.times import HOUR_MS, floor_to
 from ..functions.vectors import reoriented
+from ..session import fresh
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    k = fresh(rows, "k")
+    return rows.withColumn(k, F.row_number().over(w)).filter(F.col(k) == 1).drop(k)
 
 
 def location_of(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -58,13 +60,12 @@ def clipped(rows: DataFrame, start: int | None = None, stop: int | None = None,
 
 def clipped_to_sessions(rows: DataFrame, sessions: DataFrame, by_hour: bool = True, time: str = "t_ms") -> DataFrame:
     """Rows within their participant's sessions; without a session all but the last row of each file (an hour, or all) stays."""
-    keys = ["pid", "sid"]
-    rows = rows.withColumn("_hour", floor_to(time, HOUR_MS) if by_hour else F.lit(0).cast("long"))
-    ends = rows.groupBy(*keys, "_hour").agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
-    given = sessions.groupBy("pid").agg(F.min("start_ms").alias("_start"), F.max("stop_ms").alias("_stop"))
-    ends = ends.join(given, "pid", "left").select(*keys, "_hour", F.coalesce("_start", "_low").alias("_start"), F.coalesce("_stop", "_high").alias("_stop"))
-    out = rows.join(ends, [*keys, "_hour"]).filter((F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_stop")))
-    return out.drop("_hour", "_start", "_stop")
+    keys, (hour, start, stop) = ["pid", "sid"], (fresh(rows, n) for n in ("hour", "start", "stop"))
+    held = rows.withColumn(hour, floor_to(time, HOUR_MS) if by_hour else F.lit(0).cast("long"))
+    ends = held.groupBy(*keys, hour).agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    given = sessions.groupBy("pid").agg(F.min("start_ms").alias("first"), F.max("stop_ms").alias("last"))
+    ends = ends.join(given, "pid", "left").select(*keys, hour, F.coalesce("first", "low").alias(start), F.coalesce("last", "high").alias(stop))
+    return held.join(ends, [*keys, hour]).filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(stop))).select(rows.columns)
 
 
 def synced(rows: DataFrame, offsets: DataFrame, time: str = "t_ms", compat: bool = False) -> DataFrame:
@@ -99,3 +100,10 @@ def neighbours(files: DataFrame) -> DataFrame:
 def deduplicated(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = ("pid", "sid"), time: str = "t_ms") -> DataFrame:
     """One row for each time, the first in ``order``."""
     return first_of(rows, [*keys, time], order)
+
+
+def masked(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], time: str = "t_ms") -> DataFrame:
+    """Rows with start_ms <= time <= stop_ms of their key; bounds: keys, start_ms, stop_ms, a row a key."""
+    low, high = fresh(rows, "low"), fresh(rows, "high")
+    out = rows.join(bounds.select(*keys, F.col("start_ms").alias(low), F.col("stop_ms").alias(high)), list(keys))
+    return out.filter(F.col(time).between(F.col(low), F.col(high))).select(rows.columns)

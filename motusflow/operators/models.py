@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import fresh
+
 DROPPED = ("unknown", "transition")
 #: label column, cost and kernel width of each classifier (fixed values).
 CATALOGUE = {
@@ -36,13 +38,19 @@ def ranges(rows: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, fl
     return {c: (got[f"a_{i}"], got[f"z_{i}"]) for i, c in enumerate(columns)}
 
 
-def scaled(rows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+def scaled_columns(limits: dict[str, tuple[float, float]]) -> list[Column]:
     """Columns to [-1, 1]; a constant column becomes -1, as its lower end does."""
-    new = {}
-    for c, (a, z) in limits.items():
-        wide = a is not None and z > a
-        new[c] = (F.col(c) - F.lit(a)) / F.lit(z - a) * 2 - 1 if wide else F.when(F.col(c).isNotNull(), F.lit(-1.0))
-    return rows.withColumns(new)
+    wide = lambda a, z: a is not None and z > a
+    return [((F.col(c) - F.lit(a)) / F.lit(z - a) * 2 - 1 if wide(a, z) else F.when(F.col(c).isNotNull(), F.lit(-1.0))).alias(c) for c, (a, z) in limits.items()]
+
+
+def scaled(rows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    return rows.withColumns(dict(zip(limits, scaled_columns(limits), strict=True)))
+
+
+def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows in a random order that depends on the seed and their values alone."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns)
 
 
 def train_rows(rows: DataFrame, label: str) -> DataFrame:
@@ -105,41 +113,59 @@ class Bundle:
     def load(cls, spark: SparkSession, path: str) -> Bundle:
         return cls(**json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
-    def mapped(self, rows: DataFrame) -> DataFrame:
-        """``_phi``: random Fourier features of the scaled columns, one matrix product an Arrow batch."""
+    def features(self):
+        """Random Fourier features of a matrix of scaled rows, as a function."""
         rng = np.random.default_rng(self.seed)
         w = rng.normal(0, np.sqrt(2 * self.gamma), (self.width, len(self.columns)))
-        shift = rng.uniform(0, 2 * np.pi, self.width)
-        rows = scaled(rows, {c: tuple(v) for c, v in self.limits.items()})
-        scale = float(np.sqrt(2 / self.width))
+        shift, scale = rng.uniform(0, 2 * np.pi, self.width), float(np.sqrt(2 / self.width))
+        return lambda x: np.cos(x @ w.T + shift) * scale
+
+    def mapped(self, rows: DataFrame) -> DataFrame:
+        """``_phi``: random Fourier features of the scaled columns, one matrix product an Arrow batch."""
+        of = self.features()
 
         @F.pandas_udf("array<double>")
         def phi(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.cos(np.stack(x.to_list()) @ w.T + shift) * scale) if len(x) else [], dtype=object)
+            return pd.Series(list(of(np.stack(x.to_list()))) if len(x) else [], dtype=object)
 
-        return rows.withColumn("_phi", phi(F.array(*self.columns)))
+        return rows.withColumn("_phi", phi(F.array(*scaled_columns({c: tuple(v) for c, v in self.limits.items()}))))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """<NAME>_PREDICTION and <NAME>_PREDICTION_PROB for rows without a missing feature."""
-        got = self.mapped(rows.na.drop("any", subset=self.columns).select("*", *(F.col(c).alias(f"_keep_{c}") for c in self.columns)))
-        dot = lambda w, b: F.aggregate(F.zip_with("_phi", F.array(*(F.lit(float(v)) for v in w)), lambda x, v: x * v), F.lit(float(b)), lambda a, v: a + v)
-        got = got.withColumns({f"_s_{i}": 1 / (1 + F.exp(-dot(w, b))) for i, (w, b) in enumerate(zip(self.weights, self.intercepts, strict=True))})
-        total = sum((F.col(f"_s_{i}") for i in range(1, len(self.classes))), F.col("_s_0"))
-        label, p = argmax_label({c: F.col(f"_s_{i}") / total for i, c in enumerate(self.classes)})
-        got = got.withColumn(f"{self.name}_PREDICTION", label).withColumn(f"{self.name}_PREDICTION_PROB", p)
-        keep = [F.col(f"_keep_{c}").alias(c) if c in self.columns else F.col(c) for c in rows.columns]
-        return got.select(*keep, f"{self.name}_PREDICTION", f"{self.name}_PREDICTION_PROB")
-
-
-def train(rows: DataFrame, columns: Sequence[str], name: str = "MDCAS", label: str | None = None, cost: float | None = None, gamma: float | None = None, width: int = 256, seed: int = 0, iterations: int = 100) -> Bundle:
-    """Fit a classifier: limits over all rows, then real classes only, then one machine for each class."""
+        """<NAME>_PREDICTION and <NAME>_PREDICTION_PROB for rows without a missing feature; the first class by name on a tie.
+
+        All machines are one matrix product an Arrow batch.
+        """
+        name, place = self.name, fresh(rows, "p")
+        phi = self.features()
+        weights, intercepts = np.array(self.weights), np.array(self.intercepts)
+
+        @F.pandas_udf("array<double>")
+        def shares(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            s = 1 / (1 + np.exp(-(phi(np.stack(x.to_list())) @ weights.T + intercepts)))
+            return pd.Series(list(s / s.sum(1, keepdims=True)), dtype=object)
+
+        got = rows.na.drop("any", subset=self.columns).withColumn(place, shares(F.array(*scaled_columns({c: tuple(v) for c, v in self.limits.items()}))))
+        label = F.element_at(F.array(*(F.lit(c) for c in self.classes)), F.array_position(place, F.array_max(place)).cast("int"))
+        return got.select(*rows.columns, label.alias(f"{name}_PREDICTION"), F.array_max(place).alias(f"{name}_PREDICTION_PROB"))
+
+
+def train(rows: DataFrame, columns: Sequence[str], name: str = "MDCAS", label: str | None = None, cost: float | None = None, gamma: float | None = None, width: int = 256, seed: int = 0, iterations: int = 100, balanced: bool = False) -> Bundle:
+    """Fit a classifier: limits over all rows, then real classes only, then one machine for each class.
+
+    ``balanced`` weighs a row by the inverse of its class's share.
+    """
     own = CATALOGUE.get(name, (label, 262.488, 0.173997))
     label, cost, gamma = label or own[0], cost or own[1], gamma or own[2]
     limits = {c: list(v) for c, v in ranges(rows, columns).items()}
     rows = train_rows(rows.select(*columns, label), label)
-    classes = sorted(r[0] for r in rows.select(label).distinct().collect())
+    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # a row a class
+    classes = sorted(sizes)
+    share = {c: sum(sizes.values()) / (len(sizes) * k) if balanced else 1.0 for c, k in sizes.items()}
+    weight = F.element_at(F.create_map(*(F.lit(x) for c in classes for x in (c, share[c]))), F.col(label)) if classes else F.lit(1.0)
     bundle = Bundle(name, label, list(columns), limits, gamma, classes, width, seed)
-    held = bundle.mapped(rows).select(array_to_vector("_phi").alias("features"), label).persist()
+    held = bundle.mapped(rows).select(array_to_vector("_phi").alias("features"), label, weight.alias("weight")).persist()
     n = held.count()
     for c in classes:
         side = held.withColumn("label", (F.col(label) == c).cast("double"))
@@ -147,7 +173,7 @@ def train(rows: DataFrame, columns: Sequence[str], name: str = "MDCAS", label: s
             bundle.weights.append([0.0] * width)
             bundle.intercepts.append(1.0)
             continue
-        model: LinearSVCModel = LinearSVC(maxIter=iterations, regParam=1 / (cost * max(n, 1)), tol=1e-5, standardization=False).fit(side)
+        model: LinearSVCModel = LinearSVC(maxIter=iterations, regParam=1 / (cost * max(n, 1)), tol=1e-5, standardization=False, weightCol="weight").fit(side)
         bundle.weights.append(model.coefficients.toArray().tolist())
         bundle.intercepts.append(float(model.intercept))
     held.unpersist()
@@ -165,15 +191,15 @@ def cross_validated(rows: DataFrame, columns: Sequence[str], label: str, order:
     return out
 
 
-def searched(rows: DataFrame, columns: Sequence[str], label: str, order: Sequence[str], tries: int = 20, folds: int = 5, seed: int = 0) -> tuple[float, float]:
-    """Cost and kernel width with the best mean macro F1 among random ones (exponential, means 100 and 0.1)."""
+def searched(rows: DataFrame, columns: Sequence[str], label: str, order: Sequence[str], tries: int = 20, folds: int = 5, seed: int = 0, **kwargs) -> tuple[float, float, bool]:
+    """Cost, kernel width and whether classes are balanced, with the best mean macro F1 among random ones (exponential, means 100 and 0.1)."""
     rng = np.random.default_rng(seed)
-    best = (-1.0, 0.0, 0.0)
+    best = (-1.0, 0.0, 0.0, False)
     for _ in range(tries):
-        cost, gamma = rng.exponential(100) + 1e-3, rng.exponential(0.1) + 1e-4
-        f1 = cross_validated(rows, columns, label, order, folds, cost=cost, gamma=gamma).agg(F.avg("macro_f1")).first()[0]
-        best = max(best, (f1 or 0.0, cost, gamma))
-    return best[1], best[2]
+        cost, gamma, balanced = rng.exponential(100) + 1e-3, rng.exponential(0.1) + 1e-4, bool(rng.integers(2))
+        f1 = cross_validated(rows, columns, label, order, folds, cost=cost, gamma=gamma, balanced=balanced, **kwargs).agg(F.avg("macro_f1")).first()[0]
+        best = max(best, (f1 or 0.0, cost, gamma, balanced))
+    return best[1:]
 
 
-__all__ = ["Bundle", "CATALOGUE", "aligned", "argmax_label", "confusion", "cross_validated", "folded", "metrics", "ranges", "scaled", "searched", "train", "train_rows"]
+__all__ = ["Bundle", "CATALOGUE", "aligned", "argmax_label", "confusion", "cross_validated", "folded", "metrics", "ranges", "scaled", "scaled_columns", "searched", "shuffled", "train", "train_rows"]

@@ -102,3 +102,10 @@ def united(*frames: DataFrame) -> DataFrame:
     for f in frames:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def chart_frame(rows: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Tidy rows for charts: with ``sid_location``, which a line's colour follows (sid alone where no location is known)."""
+    if locations is not None:
+        rows = rows.join(locations.select("pid", "sid", "location").dropDuplicates(["pid", "sid"]), ["pid", "sid"], "left")
+    return rows.withColumn("sid_location", F.concat_ws("_", "sid", "location") if "location" in rows.columns else F.col("sid"))

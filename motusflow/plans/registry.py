@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, paths, times, vectors
 from ..operators import calibration, features, lookups, models, signal, summaries, windows
-from ..session import importable
-from ..sources import views
+from ..session import importable, scratch
+from ..sources import mhealth, views
 from ..sources.views import ANNOTATIONS_SQL, DENSE_SQL, SENSOR_SQL
 from . import features as plans
 
@@ -67,24 +67,24 @@ SESSIONS_SQL = """ses AS (SELECT pid, min(t_ms) + 5000 AS start_ms, max(t_ms) -
 
 
 def _locations(spark, sf):
-    c = views.table(spark, sf, "customer").filter("c_custkey <= 40")
+    c = views.table(spark, sf, "customer")
     return c.select(F.concat(F.lit("P"), (F.col("c_custkey") % 7).cast("string")).alias("pid"), F.element_at(F.array(*(F.lit(x) for x in ("click", "error", "purchase", "signup", "view"))), (F.col("c_custkey") % 5 + 1).cast("int")).alias("sid"), F.col("c_mktsegment").alias("location"), F.col("c_custkey").alias("order"))
 
 
-LOCATIONS_SQL = """loc AS (SELECT 'P' || CAST(c_custkey % 7 AS VARCHAR) AS pid, ['click', 'error', 'purchase', 'signup', 'view'][c_custkey % 5 + 1] AS sid, c_mktsegment AS location, c_custkey AS ord FROM customer WHERE c_custkey <= 40)"""
+LOCATIONS_SQL = """loc AS (SELECT 'P' || CAST(c_custkey % 7 AS VARCHAR) AS pid, ['click', 'error', 'purchase', 'signup', 'view'][c_custkey % 5 + 1] AS sid, c_mktsegment AS location, c_custkey AS ord FROM customer)"""
 
 
 def _offsets(spark, sf):
-    n = views.table(spark, sf, "nation").filter("n_nationkey < 6")
+    n = views.table(spark, sf, "nation")
     return n.select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("pid"), (F.col("n_nationkey") * 1.5 - 3).cast("double").alias("offset_s"))
 
 
-OFFSETS_SQL = """off AS (SELECT 'P' || CAST(n_nationkey AS VARCHAR) AS pid, CAST(n_nationkey * 1.5 - 3 AS DOUBLE) AS offset_s FROM nation WHERE n_nationkey < 6)"""
+OFFSETS_SQL = """off AS (SELECT 'P' || CAST(n_nationkey AS VARCHAR) AS pid, CAST(n_nationkey * 1.5 - 3 AS DOUBLE) AS offset_s FROM nation)"""
 
 
 def _fixes(spark, sf):
     """One row for each participant but the fifth, which has two (so none is applied)."""
-    n = views.table(spark, sf, "nation").filter("n_nationkey < 6")
+    n = views.table(spark, sf, "nation")
     code = lambda k: F.element_at(F.array(*(F.lit(c) for c in vectors.CODES)), ((F.col("n_nationkey") + k) % 6 + 1).cast("int"))
     rows = n.select(F.concat(F.lit("P"), (F.when(F.col("n_nationkey") == 5, 4).otherwise(F.col("n_nationkey"))).cast("string")).alias("pid"), F.lit("S1").alias("sid"), code(1).alias("x_code"), code(2).alias("y_code"), code(5).alias("z_code"))
     return rows
@@ -92,7 +92,7 @@ def _fixes(spark, sf):
 
 FIXES_SQL = """fix AS (SELECT pid, count(*) AS n, any_value(x_code) AS x_code, any_value(y_code) AS y_code, any_value(z_code) AS z_code FROM (
   SELECT 'P' || CAST(CASE WHEN n_nationkey = 5 THEN 4 ELSE n_nationkey END AS VARCHAR) AS pid, ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 1) % 6 + 1] AS x_code,
-    ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 2) % 6 + 1] AS y_code, ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 5) % 6 + 1] AS z_code FROM nation WHERE n_nationkey < 6) GROUP BY pid HAVING count(*) = 1)"""
+    ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 2) % 6 + 1] AS y_code, ['X', '-X', 'Y', '-Y', 'Z', '-Z'][(n_nationkey + 5) % 6 + 1] AS z_code FROM nation) GROUP BY pid HAVING count(*) = 1)"""
 _TURN = lambda c, a: f"CASE {c} WHEN 'X' THEN x WHEN '-X' THEN -x WHEN 'Y' THEN y WHEN '-Y' THEN -y WHEN 'Z' THEN z WHEN '-Z' THEN -z ELSE {a} END"
 
 FILE_SQL = """files AS (SELECT page_id, 'STUDY_' || CAST(page_id % 9 AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '/Derived/set' || CAST(page_id % 2 AS VARCHAR) ELSE '/MasterSynced' END
@@ -123,6 +123,14 @@ def scan_sensor_clean(spark, sf):
     return rows.select("event_id", "pid", "sid", "t_ms", "x", F.expr("try_cast(_y as double)").alias("y")).na.drop("any")
 
 
+@_query(f"WITH {DENSE_SQL} SELECT pid, sid, strftime(make_timestamp(t_ms * 1000), '%Y-%m-%d') AS date, strftime(make_timestamp(t_ms * 1000), '%H') AS hour, t_ms, round(x, 6) + 0.0e0 AS x, round(y, 6) + 0.0e0 AS y, round(z, 6) + 0.0e0 AS z FROM dense")
+def sensor_files(spark, sf):
+    """The dense stream written as hourly CSV files under their proper names and read again."""
+    root = scratch(spark, "sensor-files")
+    mhealth.write_sensor(views.dense(spark, sf).drop("event_id"), root)
+    return rounded(mhealth.read_sensor(spark, root).select("pid", "sid", "date", "hour", "t_ms", "x", "y", "z"))
+
+
 @_query("""SELECT page_id, regexp_extract(url, '://([^/]+)/', 1) AS pid, regexp_extract(html, '<title>([^<]*)</title>', 1) AS serial, regexp_extract(url, '([^/]*)$', 1) AS location FROM pages""")
 def regex_location_map(spark, sf):
     p = views.table(spark, sf, "pages")
@@ -213,11 +221,14 @@ def clip_sessions(spark, sf):
     return lookups.clipped_to_sessions(views.dense(spark, sf), _sessions(spark, sf)).select("event_id", "pid", "t_ms")
 
 
-@_query(f"WITH {DENSE_SQL} SELECT event_id, t_ms FROM dense WHERE t_ms BETWEEN 1704067200000 + 60000 AND 1704067200000 + 120000")
+@_query(f"""
+WITH {DENSE_SQL}, m AS (SELECT pid, min(t_ms) - min(t_ms) % 60000 + 60000 AS lo, max(t_ms) - max(t_ms) % 60000 AS hi FROM dense GROUP BY pid)
+SELECT event_id, t_ms FROM dense JOIN m USING (pid) WHERE t_ms BETWEEN lo AND hi""")
 def hour_mask(spark, sf):
-    """Closed on both sides, unlike a clip."""
-    low = views.BASE_MS + 60_000
-    return views.dense(spark, sf).filter(F.col("t_ms").between(low, low + 60_000)).select("event_id", "t_ms")
+    """The whole minutes within each participant's data; closed on both sides, unlike a clip."""
+    rows = views.dense(spark, sf)
+    ends = rows.groupBy("pid").agg((times.floor_to(F.min("t_ms"), times.MINUTE_MS) + times.MINUTE_MS).alias("start_ms"), times.floor_to(F.max("t_ms"), times.MINUTE_MS).alias("stop_ms"))
+    return lookups.masked(rows, ends, ["pid"]).select("event_id", "t_ms")
 
 
 @_query(f"""
@@ -355,7 +366,13 @@ def list_ids(spark, sf):
     return summaries.listed(files.withColumnRenamed("file", "path"))
 
 
-@_query()
+@_query(f"""
+WITH {FILE_SQL}, f AS (SELECT file, html, string_split(html, chr(10)) AS ls FROM files JOIN pages USING (page_id)), h AS (SELECT *, string_split(trim(ls[1]), ',') AS k, string_split(string_split(file, '/')[-1], '.') AS t FROM f)
+SELECT string_split(file, '/')[1] AS pid, upper(string_split(t[2], '-')[1]) AS id, lower(t[-2]) AS type, regexp_extract(t[3], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS date, regexp_extract(t[3], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}-([0-9]{{2}})', 1) AS hour,
+  round(length(html) / 1024e0, 6) + 0.0e0 AS size_kb, CAST(len(ls) - CASE WHEN ls[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n_lines, CASE WHEN file LIKE '%MasterSynced/%' THEN 'True' ELSE 'False' END AS validate_folder_structure,
+  CASE WHEN string_split(file, '/')[-1] LIKE 'ActigraphGT9X-%' THEN 'True' ELSE 'False' END AS validate_filename,
+  CASE WHEN len(k) < 2 THEN 'Header has less than 2 columns' ELSE coalesce(nullif(CASE WHEN k[1] <> 'HEADER_TIME_STAMP' THEN 'HEADER_TIME_STAMP|' ELSE '' END || CASE WHEN lower(t[-2]) = 'annotation' THEN
+    CASE WHEN coalesce(k[2], '') <> 'START_TIME' THEN 'START_TIME|' ELSE '' END || CASE WHEN coalesce(k[3], '') <> 'STOP_TIME' THEN 'STOP_TIME|' ELSE '' END || CASE WHEN coalesce(k[4], '') <> 'LABEL_NAME' THEN 'LABEL_NAME' ELSE '' END ELSE '' END, ''), 'True') END AS validate_csv_header FROM h""")
 def file_summary(spark, sf):
     """A row a file; text and size are those of the pages."""
     files = _files(spark, sf).join(views.table(spark, sf, "pages").select("page_id", F.col("html").alias("content"), F.length("html").alias("length")), "page_id")
@@ -469,6 +486,24 @@ def detect_peaks(spark, sf):
     return rounded(rows.filter("x > a and x >= z").select("event_id", "x"))
 
 
+@_query(f"WITH {DENSE_SQL}, {_EDGE} SELECT event_id, round(x, 6) + 0.0e0 AS x FROM w WHERE (x > a AND x >= z OR x >= a AND x > z) AND x >= 0.25 AND least(x - a, x - z) >= 0.1")
+def detect_peaks_both(spark, sf):
+    """Either end of a flat top, with a least height and a least drop to both neighbours."""
+    return rounded(features.peaks(views.dense(spark, sf).select("event_id", "pid", "t_ms", "x"), ["pid"], "x", edge="both", height=0.25, threshold=0.1).select("event_id", "x"))
+
+
+@_query(f"WITH {DENSE_SQL}, {_EDGE} SELECT event_id, round(x, 6) + 0.0e0 AS x FROM w WHERE x <= a AND x < z")
+def detect_valleys(spark, sf):
+    """Falling edges of the series turned over."""
+    return rounded(features.peaks(views.dense(spark, sf).select("event_id", "pid", "t_ms", "x"), ["pid"], "x", edge="falling", valley=True).select("event_id", "x"))
+
+
+@_query()
+def detect_peaks_apart(spark, sf):
+    """Of peaks within 20 samples of each other the highest."""
+    return rounded(features.peaks(views.dense(spark, sf).select("event_id", "pid", "t_ms", "x"), ["pid"], "x", distance=20).select("event_id", "x"))
+
+
 @_query(f"""
 WITH {DENSE_SQL}, {_window_sql()}, {_SPECTRUM} SELECT pid, sid, "window", rank, round(p, 6) AS power, round(f, 6) AS freq FROM (SELECT *, row_number() OVER (PARTITION BY pid, sid, "window" ORDER BY p DESC, k) AS rank FROM pk) WHERE rank <= 1""")
 def spectral_peaks(spark, sf):
@@ -500,7 +535,20 @@ def _matrix_sql(m) -> str:
     return ", ".join(f"{float(r[0])!r}::DOUBLE * x + {float(r[1])!r}::DOUBLE * y + {float(r[2])!r}::DOUBLE * z AS {a}" for r, a in zip(m, "xyz", strict=True))
 
 
-_LOWPASS = signal.across_axes(4, [20.0], RATE)
+def _plain_matrix(cutoffs, kind="lowpass") -> np.ndarray:
+    """How the zero-phase filter acts on three values, by its difference equation: for the SQL twins."""
+    b, a = signal.butterworth(4, cutoffs, RATE, kind)
+
+    def once(x):
+        seen, y = [x[0]] * 2000 + list(x), []  # a long constant lead stands for the steady state
+        for i, v in enumerate(seen):
+            y.append(b[0] * v + sum(b[k] * seen[i - k] for k in range(1, len(b)) if i >= k) - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k))
+        return y[2000:]
+
+    return np.stack([once(once(e)[::-1])[::-1] for e in np.eye(3)], 1)
+
+
+_LOWPASS = _plain_matrix([20.0])
 _FILTERED = f"fil AS (SELECT * EXCLUDE (x, y, z), {_matrix_sql(_LOWPASS)} FROM pts), turned AS (SELECT fil.* EXCLUDE (x, y, z), {', '.join(_TURN(f'{a}_code', a) + f' AS {a}' for a in 'xyz')} FROM fil LEFT JOIN fix USING (pid))"
 
 
@@ -608,6 +656,17 @@ def resample_linear(spark, sf):
     return rounded_alike(signal.resampled(views.dense(spark, sf), _GRID))
 
 
+@_query(f"""
+WITH {DENSE_SQL}, e AS (SELECT pid, sid, min(t_ms) AS lo, max(t_ms) AS hi FROM dense GROUP BY ALL), h AS (SELECT DISTINCT pid, sid, t_ms - t_ms % 3600000 AS hr FROM dense),
+g AS (SELECT pid, sid, k, hr + k * (3600000::DOUBLE / {int(3600 * _GRID) - 1}) AS g FROM (SELECT *, unnest(generate_series(0, {int(3600 * _GRID) - 2})) AS k FROM h)),
+w AS (SELECT g.* FROM g JOIN e USING (pid, sid) WHERE g >= lo AND g < hi), s AS (SELECT *, t_ms::DOUBLE AS t FROM dense),
+l AS (SELECT w.*, s.t AS t0, s.x AS x0, s.y AS y0, s.z AS z0 FROM w ASOF JOIN s ON s.pid = w.pid AND s.sid = w.sid AND w.g >= s.t),
+b AS (SELECT l.*, s.t AS t1, s.x AS x1, s.y AS y1, s.z AS z1 FROM l ASOF LEFT JOIN s ON s.pid = l.pid AND s.sid = l.sid AND l.g <= s.t)
+SELECT pid, sid, k, CAST(floor(g) AS BIGINT) AS t_ms, {", ".join(f"floor((CASE WHEN t0 = g THEN {a}0 WHEN t1 - t0 <= 1000 THEN {a}0 + ({a}1 - {a}0) / (t1 - t0) * (g - t0) END) * 1e6 + 0.5e0) / 1e6 AS {a}" for a in "xyz")} FROM b""")
+def resample_hourly(spark, sf):
+    return rounded_alike(signal.resampled_by_hour(views.dense(spark, sf), _GRID))
+
+
 @_query()
 def resample_spline(spark, sf):
     return rounded(signal.resampled_spline(views.dense(spark, sf), _GRID))
@@ -618,6 +677,19 @@ def lowpass_compat(spark, sf):
     return rounded(signal.filtered(views.dense(spark, sf), RATE, [20.0]).select("event_id", "x", "y", "z"))
 
 
+def _register_filters() -> None:
+    for kind, cutoffs in (("highpass", [5.0]), ("bandpass", [2.0, 20.0])):
+        def fn(spark, sf, kind=kind, cutoffs=cutoffs):
+            return rounded(signal.filtered(views.dense(spark, sf), RATE, cutoffs, kind=kind).select("event_id", "x", "y", "z"))
+
+        fn.__name__ = f"{kind}_compat"
+        m = _plain_matrix(cutoffs, kind)
+        _query(f"WITH {DENSE_SQL} SELECT event_id, {', '.join(f'round({a}, 6) + 0.0e0 AS {a}' for a in 'xyz')} FROM (SELECT event_id, {_matrix_sql(m)} FROM dense)")(fn)
+
+
+_register_filters()
+
+
 @_query()
 def lowpass_time(spark, sf):
     return rounded(signal.filtered_in_time(views.dense(spark, sf), 20.0, [5.0]))
@@ -703,12 +775,15 @@ def preprocess(spark, sf):
 # ---------------------------------------------------------------- models
 
 
-def _vectors(spark, sf, width: int = 4):
+WIDTH = 64
+
+
+def _vectors(spark, sf, width: int = WIDTH):
     e = views.table(spark, sf, "embeddings")
     return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(width)))
 
 
-_F4 = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(4)) + " FROM embeddings)"
+_FEATURES = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(WIDTH)) + " FROM embeddings)"
 _KIND = "CASE label % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'transition' ELSE 'c' || CAST(label AS VARCHAR) END"
 
 
@@ -716,39 +791,39 @@ def _kind():
     return F.when(F.col("label") % 5 == 0, "unknown").when(F.col("label") % 5 == 1, "transition").otherwise(F.concat(F.lit("c"), F.col("label").cast("string")))
 
 
-@_query(f"WITH {_F4} SELECT vec_id, {', '.join(f'round((f{k} - min(f{k}) OVER ()) / (max(f{k}) OVER () - min(f{k}) OVER ()) * 2 - 1, 6) + 0.0e0 AS f{k}' for k in range(4))} FROM v")
+@_query(f"WITH {_FEATURES} SELECT vec_id, {', '.join(f'round((f{k} - min(f{k}) OVER ()) / (max(f{k}) OVER () - min(f{k}) OVER ()) * 2 - 1, 6) + 0.0e0 AS f{k}' for k in range(WIDTH))} FROM v")
 def minmax_scale(spark, sf):
-    rows, cols = _vectors(spark, sf), [f"f{k}" for k in range(4)]
+    rows, cols = _vectors(spark, sf), [f"f{k}" for k in range(WIDTH)]
     return rounded(models.scaled(rows, models.ranges(rows, cols)).select("vec_id", *cols))
 
 
-@_query(f"WITH {_F4} SELECT vec_id, {_KIND} AS kind FROM v WHERE label % 5 > 1 AND vec_id % 7 <> 0")
+@_query(f"WITH {_FEATURES} SELECT vec_id, {_KIND} AS kind FROM v WHERE label % 5 > 1 AND vec_id % 7 <> 0")
 def train_filter(spark, sf):
     rows = _vectors(spark, sf).select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("f0")).alias("f0"), _kind().alias("kind"))
     return models.train_rows(rows, "kind").select("vec_id", "kind")
 
 
-@_query(f"WITH {_F4} SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id * 7919 % 10007, vec_id) - 1) % 10 AS fold FROM v")
+@_query(f"WITH {_FEATURES} SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id * 7919 % 10007, vec_id) - 1) % 10 AS fold FROM v")
 def stratified_folds(spark, sf):
     rows = models.folded(_vectors(spark, sf), "label", [F.col("vec_id") * 7919 % 10007, "vec_id"])
     return rows.select("vec_id", "label", F.col("fold").cast("long").alias("fold"))
 
 
-_BEST = "CASE WHEN f0 >= f1 AND f0 >= f2 AND f0 >= f3 THEN 'f0' WHEN f1 >= f2 AND f1 >= f3 THEN 'f1' WHEN f2 >= f3 THEN 'f2' ELSE 'f3' END"
+_BEST = "v AS (SELECT *, 'f' || CAST(list_position(l, list_max(l)) - 1 AS VARCHAR) AS best, list_max(l) AS p FROM (SELECT vec_id, label, embedding::DOUBLE[] AS l FROM embeddings))"
 
 
-@_query(f"WITH {_F4} SELECT vec_id, {_BEST} AS label, round(greatest(f0, f1, f2, f3), 6) + 0.0e0 AS p FROM v")
+@_query(f"WITH {_BEST} SELECT vec_id, best AS label, round(p, 6) + 0.0e0 AS p FROM v")
 def argmax_label(spark, sf):
-    label, p = models.argmax_label({f"f{k}": f"f{k}" for k in range(4)})
+    label, p = models.argmax_label({f"f{k}": f"f{k}" for k in range(WIDTH)})
     return rounded(_vectors(spark, sf).select("vec_id", label.alias("label"), p.alias("p")))
 
 
 @_query(f"""
-WITH {_F4}, r AS (SELECT 'f' || CAST(label % 4 AS VARCHAR) AS truth, {_BEST} AS pred FROM v), s AS (SELECT truth AS l, CAST(truth = pred AS INT) AS hit FROM r UNION ALL SELECT pred, 0 FROM r)
+WITH {_BEST}, r AS (SELECT 'f' || CAST(label AS VARCHAR) AS truth, best AS pred FROM v), s AS (SELECT truth AS l, CAST(truth = pred AS INT) AS hit FROM r UNION ALL SELECT pred, 0 FROM r)
 SELECT (SELECT round(avg(CAST(truth = pred AS INT)), 6) FROM r) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM (SELECT l, 2e0 * sum(hit) / count(*) AS f1 FROM s GROUP BY l)""")
 def macro_f1(spark, sf):
-    label, _ = models.argmax_label({f"f{k}": f"f{k}" for k in range(4)})
-    rows = _vectors(spark, sf).select(F.concat(F.lit("f"), (F.col("label") % 4).cast("string")).alias("truth"), label.alias("pred"))
+    label, _ = models.argmax_label({f"f{k}": f"f{k}" for k in range(WIDTH)})
+    rows = _vectors(spark, sf).select(F.concat(F.lit("f"), F.col("label").cast("string")).alias("truth"), label.alias("pred"))
     return rounded(models.metrics(rows, "truth", "pred"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a local session without it has one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="motusflow-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
