@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The data set's grammar of names and folders, its columns in their places, and what a header report says.
 NAME_FORM = r"([A-Za-z0-9]+-){1,2}[A-Za-z0-9]+\.[A-Za-z0-9]+-[A-Za-z0-9]+\.[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{3}-[MP][0-9]{4}\.[a-z]+\.csv"
 FOLDER_FORM = r"MasterSynced/[0-9]{4}/[0-9]{2}/[0-9]{2}/[0-9]{2}"
+HEADER = (("HEADER_TIME_STAMP", "|", None), ("START_TIME", "|", ("annotation", "event")), ("STOP_TIME", "|", ("annotation", "event")), ("LABEL_NAME", "", ("annotation",)))
+SHORT_HEADER, GOOD = "Header has less than 2 columns", "True"
 
 
 def base_name(path: Column) -> Column:
@@ -77,15 +80,12 @@ def valid_folder(path: Column) -> Column:
 def header_report(header: Column, kind: Column) -> Column:
     """``True``, or the names of missing columns, each closed by a bar (the label column by none)."""
     tokens = F.split(F.trim(header), ",")
-    at = lambda k: F.coalesce(F.try_element_at(tokens, F.lit(k)), F.lit(""))
-    spans, label = kind.isin("annotation", "event"), kind == "annotation"
-    text = F.concat(
-        F.when(at(1) != "HEADER_TIME_STAMP", "HEADER_TIME_STAMP|").otherwise(""),
-        F.when(spans & (at(2) != "START_TIME"), "START_TIME|").otherwise(""),
-        F.when(spans & (at(3) != "STOP_TIME"), "STOP_TIME|").otherwise(""),
-        F.when(label & (at(4) != "LABEL_NAME"), "LABEL_NAME").otherwise(""),
-    )
-    return F.when(F.size(tokens) < 2, "Header has less than 2 columns").when(text == "", "True").otherwise(text)
+    missing = []
+    for place, (name, closed, kinds) in enumerate(HEADER, 1):
+        wrong = F.coalesce(F.try_element_at(tokens, F.lit(place)), F.lit("")) != name
+        missing.append(F.when(wrong if kinds is None else wrong & kind.isin(*kinds), name + closed).otherwise(""))
+    text = F.concat(*missing)
+    return F.when(F.size(tokens) < 2, SHORT_HEADER).when(text == "", GOOD).otherwise(text)
 
 
 def output_path(path: Column, set_name: str, new_type: str | None = None, new_data: str | None = None, compat: bool = True) -> Column:

@@ -89,8 +89,9 @@ def fitted(points: np.ndarray, steps: int = 1000, tolerance: float = 1e-12) -> t
         except np.linalg.LinAlgError:
             return None
         now = float((left**2).mean())
-        gain *= 0.99 if now < error else 0.01
-        error, new = now, x - gain * step
+        new = x - gain * step
+        gain *= 0.99 if now <= error else 0.01
+        error = now
         both = new + x
         change = np.divide(2 * (new - x), both, out=np.zeros(9), where=np.abs(both) > 1e-300)
         x = new

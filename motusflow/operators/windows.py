@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh
+
 KEYS = ("pid", "sid")
 SIZE_MS = 12_800
 
@@ -34,38 +36,47 @@ def spine(sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS,
     return rows.select(*keys, "window", start.alias("start_ms"), (start + size).alias("stop_ms"))
 
 
+def _more(sessions: DataFrame, keys: Sequence[str]) -> list[str]:
+    """What sessions hold besides their keys and bounds; rows take it over."""
+    return [c for c in sessions.columns if c not in (*keys, "session_start", "session_stop", "window")]
+
+
 def assigned(points: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS, step: int | None = None, time: str = "t_ms", hour_truncation: bool = False) -> DataFrame:
     """Every point once for each window that holds it (start <= time < stop), with ``window``.
 
     With ``hour_truncation``, as when each hourly file is cut before its windows, a window sees only samples of the hour it starts in.
     """
     step = step or size
-    rows = points.join(sessions.withColumn("_n", _count(size, step)), list(keys))
-    since = F.col(time) - F.col("session_start")
-    high = F.least(F.floor(since / step), F.col("_n") - 1).cast("long")
+    start, n, low = (fresh(points, c) for c in ("start", "n", "low"))
+    more = _more(sessions, keys)
+    ends = sessions.select(*keys, *more, F.col("session_start").alias(start), _count(size, step).alias(n))
+    rows = points.drop("window").join(ends, list(keys))
+    since = F.col(time) - F.col(start)
     if step == size:
-        rows = rows.withColumn("window", F.floor(since / step).cast("long")).filter("window >= 0 and window < _n")
+        rows = rows.withColumn("window", F.floor(since / step).cast("long")).filter((F.col("window") >= 0) & (F.col("window") < F.col(n)))
     else:
-        low = F.greatest(F.ceil((since - size + 1) / step), F.lit(0)).cast("long")
-        rows = rows.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
-        rows = rows.withColumn("window", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+        high = F.least(F.floor(since / step), F.col(n) - 1).cast("long")
+        rows = rows.withColumn(low, F.greatest(F.ceil((since - size + 1) / step), F.lit(0)).cast("long")).filter(F.col(low) <= high)
+        rows = rows.withColumn("window", F.explode(F.sequence(F.col(low), high)))
     if hour_truncation:
         hour = lambda c: F.floor(c / 3_600_000)
-        rows = rows.filter(hour(F.col(time)) == hour(F.col("session_start") + F.col("window") * step))
-    return rows.drop("session_start", "session_stop", "_n")
+        rows = rows.filter(hour(F.col(time)) == hour(F.col(start) + F.col("window") * step))
+    return rows.select(*(c for c in points.columns if c != "window"), *more, "window")
 
 
 def overlapping(intervals: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS, size: int = SIZE_MS, step: int | None = None) -> DataFrame:
     """Every interval (start_ms, stop_ms) once for each window that it overlaps: start < window stop and stop > window start."""
     step = step or size
-    rows = intervals.join(sessions.withColumn("_n", _count(size, step)), list(keys))
-    low = F.greatest(F.floor((F.col("start_ms") - F.col("session_start") - size) / step) + 1, F.lit(0)).cast("long")
-    high = F.least(F.ceil((F.col("stop_ms") - F.col("session_start")) / step) - 1, F.col("_n") - 1).cast("long")
-    rows = rows.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
-    rows = rows.withColumn("window", F.explode(F.sequence("_low", "_high")))
-    start = F.col("session_start") + F.col("window") * step
+    first, n, low, high = (fresh(intervals, c) for c in ("first", "n", "low", "high"))
+    more = _more(sessions, keys)
+    ends = sessions.select(*keys, *more, F.col("session_start").alias(first), _count(size, step).alias(n))
+    rows = intervals.drop("window").join(ends, list(keys))
+    rows = rows.withColumn(low, F.greatest(F.floor((F.col("start_ms") - F.col(first) - size) / step) + 1, F.lit(0)).cast("long"))
+    rows = rows.withColumn(high, F.least(F.ceil((F.col("stop_ms") - F.col(first)) / step) - 1, F.col(n) - 1).cast("long")).filter(F.col(low) <= F.col(high))
+    rows = rows.withColumn("window", F.explode(F.sequence(low, high)))
+    start = F.col(first) + F.col("window") * step
     rows = rows.filter((F.col("start_ms") < start + size) & (F.col("stop_ms") > start))
-    return rows.drop("session_start", "session_stop", "_n", "_low", "_high")
+    return rows.select(*(c for c in intervals.columns if c != "window"), *more, "window")
 
 
 def windowed(points: DataFrame, measures: Sequence[Column], keys: Sequence[str] = KEYS, size: int = SIZE_MS, step: int | None = None, sessions: DataFrame | None = None) -> DataFrame:
