@@ -80,3 +80,96 @@ def test_calibration_recovers_a_known_distortion():
     got = fitted(v @ np.linalg.inv(m) + b)
     assert got is not None and np.allclose(got[0], m, atol=1e-6) and np.allclose(got[1], b, atol=1e-6)
     assert fitted(v[:8]) is None
+
+
+def plain_peaks(x, height=None, distance=1, threshold=0, edge="rising", keep_same=False, valley=False):
+    """The definition, a sample at a time."""
+    x = [-v if valley else v for v in x]
+    out = []
+    for i in range(1, len(x) - 1):
+        a, v, z = x[i - 1 : i + 2]
+        if any(np.isnan(t) for t in (a, v, z)):
+            continue
+        rising, falling = v > a and v >= z, v >= a and v > z
+        good = {"rising": rising, "falling": falling, "both": rising or falling, None: rising and falling}[edge]
+        if good and (height is None or v >= height) and (threshold <= 0 or min(v - a, v - z) >= threshold):
+            out.append(i)
+    if distance <= 1:
+        return out
+    kept = []
+    for i in sorted(out, key=lambda i: -x[i]):
+        if all(abs(i - k) > distance or (keep_same and not x[k] > x[i]) for k in kept):
+            kept.append(i)
+    return sorted(kept)
+
+
+@given(
+    st.lists(st.sampled_from([0.0, 1.0, 2.0, 3.0, -1.0, float("nan")]), max_size=25),
+    st.fixed_dictionaries({"edge": st.sampled_from(["rising", "falling", "both", None]), "height": st.sampled_from([None, 1.0]), "threshold": st.sampled_from([0, 1, 2]), "distance": st.integers(1, 5), "keep_same": st.booleans(), "valley": st.booleans()}),
+)
+@settings(max_examples=400, deadline=None)
+def test_peaks_are_those_of_the_definition(x, options):
+    assert detect_peaks(x, **options).tolist() == plain_peaks(x, **options)
+
+
+def plain_zero_phase(b, a, x):
+    """The difference equation forward and backward, each way led in by a long constant."""
+
+    def once(x):
+        seen, y = [x[0]] * 3000 + list(x), []
+        for i in range(len(seen)):
+            y.append(sum(b[k] * seen[i - k] for k in range(len(b)) if i >= k) - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k))
+        return y[3000:]
+
+    return np.array(once(once(x)[::-1])[::-1])
+
+
+@pytest.mark.parametrize("kind, cutoffs", [("lowpass", [20.0]), ("highpass", [5.0]), ("bandpass", [2.0, 20.0])])
+def test_block_filter_equals_the_difference_equation(kind, cutoffs):
+    x = np.random.default_rng(0).normal(size=700)
+    b, a = butterworth(4, cutoffs, 80, kind)
+    assert np.allclose(zero_phase(b, a, x), plain_zero_phase(b, a, x), atol=1e-8)
+    both = zero_phase(b, a, np.stack([x, 2 * x], 1))
+    assert np.allclose(both[:, 1], 2 * zero_phase(b, a, x), atol=1e-9)
+
+
+def test_matrices_of_the_twins_are_the_goldens():
+    from motusflow.plans.registry import _LOWPASS
+
+    assert np.allclose(_LOWPASS, [[0.715576, 0.234605, 0.049819], [0.565425, 0.349426, 0.085148], [0.530096, 0.375923, 0.093981]], atol=1e-6)
+
+
+def plain_spline(x, y, at):
+    """Cubic pieces by one linear system: values, two continuous derivatives, and a third one at the second and last-but-one knot."""
+    n = len(x) - 1
+    m, r, row = np.zeros((4 * n, 4 * n)), np.zeros(4 * n), 0
+    for i in range(n):
+        h = x[i + 1] - x[i]
+        m[row, 4 * i], r[row] = 1, y[i]
+        m[row + 1, 4 * i : 4 * i + 4], r[row + 1] = [1, h, h**2, h**3], y[i + 1]
+        row += 2
+        if i < n - 1:
+            m[row, 4 * i : 4 * i + 4], m[row, 4 * i + 5] = [0, 1, 2 * h, 3 * h**2], -1
+            m[row + 1, 4 * i : 4 * i + 4], m[row + 1, 4 * i + 6] = [0, 0, 2, 6 * h], -2
+            row += 2
+    for i in (0, n - 2):
+        m[row, 4 * i + 3], m[row, 4 * i + 7] = 1, -1
+        row += 1
+    c = np.linalg.solve(m, r).reshape(n, 4)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 1)
+    return sum(c[k, j] * (at - x[k]) ** j for j in range(4))
+
+
+def test_spline_equals_a_plain_solve():
+    rng = np.random.default_rng(1)
+    x = np.cumsum(rng.uniform(0.2, 2, 30))
+    y, at = rng.normal(size=30), np.linspace(x[0], x[-1], 101)
+    assert np.allclose(spline(x, y, at), plain_spline(x, y, at), atol=1e-9)
+
+
+def test_calibration_starts_with_a_whole_step_and_takes_equal_errors_for_progress():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(10, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    m, b = fitted(v)  # nothing to mend: the first error is the last
+    assert np.allclose(m, np.eye(3), atol=1e-9) and np.allclose(b, 0, atol=1e-9)
