@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -69,6 +70,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.to_chars = byte_chars()
+        self.blank = self.to_chars[32]
         self.cache = Cache()
 
     def normal(self, text: str) -> str:
@@ -82,21 +84,22 @@ class Encoder:
         return lowered(text)  # white space separates pieces and is dropped, so its folding changes nothing
 
     def piece_ids(self, piece: str) -> bytes:
-        chars = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
-        return np.array([t.id for t in self.model.tokenize(chars)], np.int32).tobytes()
+        if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+            chars = self.blank + piece[1:] if piece[0] == " " else piece  # letters and digits are written as they are
+        else:
+            chars = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
+        return array("i", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def looked_up(self, words: list[str]) -> list[bytes]:
-        cache, out = self.cache, []
-        young = cache.young
-        for w in words:
-            ids = young.get(w)
+        cache = self.cache
+        out = list(map(cache.young.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            ids = cache.old.get(w)
             if ids is None:
-                ids = cache.get(w)
-                if ids is None:
-                    ids = self.piece_ids(w)
-                    cache.put(w, ids)
-                young = cache.young
-            out.append(ids)
+                ids = self.piece_ids(w)
+            cache.put(w, ids)
+            out[i] = ids
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
