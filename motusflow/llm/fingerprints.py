@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches
+from .packed import distinct
 from .shingles import shingles
 
 #: One of so many hashes is kept.
@@ -37,7 +38,7 @@ RANGE_DOCS, RANGES = 1000, 100_000
 def kept(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch: distinct hashes below the threshold, in order; if there are none, the lowest as a stand-in."""
     low = hashes[hashes < np.uint64(2**64 // scale)]
-    return np.unique(low) if len(low) or not len(hashes) else hashes.min(keepdims=True)
+    return distinct(low) if len(low) or not len(hashes) else hashes.min(keepdims=True)
 
 
 def sketches(texts: list[str | None], scale: int = SCALE) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ background model counts all. A document's score is its mean loss a word under th
 model; low means close to the target. When a document is scored, all its own counts are left out: of its bigrams, its words, N
 and its beginning.
 
-All counts are exact and grow with the corpus; none meet in one place. Documents are taken in chunks. A chunk sends its distinct
+All counts are over the whole corpus (words and bigrams by 48 to 64 bits of their hashes, packed.key_mask); none meet in one place. Documents are taken in chunks. A chunk sends its distinct
 bigrams and words, each once with the chunk's counts, as sorted and compressed blocks to key ranges; the ranges' totals return
 to the chunk, beside its documents as numbers of words, and there every document is scored. A bigram of every document of the
 corpus is thus one entry a chunk, never one a document.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, count_in, spread, written
-from .packed import by_range, from_gaps, gaps, packed, range_bits, summed, unpacked
+from .packed import by_range, from_gaps, gaps, key_mask, packed, range_bits, summed, unpacked
 from .shingles import mixed, word_hashes
 
 MU = 8.0
@@ -54,17 +54,17 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def _pairs(w: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(w: np.ndarray, size: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """For every word the hash of it and the one before, and whether it begins its text."""
     ends = np.cumsum(size)
     begins = np.zeros(len(w), bool)
     begins[(ends - size)[size > 0]] = True
     before = np.roll(w, 1)
     before[begins] = START
-    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + mixed(w)), begins
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + mixed(w)) & mask, begins
 
 
-def _blocks(docs: DataFrame, bits: int) -> DataFrame:
+def _blocks(docs: DataFrame, bits: int, mask: np.uint64, drop: np.uint64) -> DataFrame:
     """Chunks of documents as rows for key ranges (SENT); a chunk's documents go as a range of their own, -1 - chunk."""
     schema = _arrow(SENT)
 
@@ -74,7 +74,7 @@ def _blocks(docs: DataFrame, bits: int) -> DataFrame:
             doc, hit = b.column("doc_id").to_pylist(), b.column("target").to_pylist()
             for first, w, bounds in word_hashes(b.column("text").to_pylist()):
                 last = first + len(bounds) - 1
-                held.append((doc[first:last], hit[first:last], w, np.diff(bounds)))
+                held.append((doc[first:last], hit[first:last], w & mask, np.diff(bounds)))
                 words += len(w)
                 if words >= CHUNK_WORDS:
                     yield closed(chunk, held)
@@ -88,14 +88,14 @@ def _blocks(docs: DataFrame, bits: int) -> DataFrame:
         w, size = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
         of = np.repeat(hit, size)
         words, code = np.unique(w, return_inverse=True)
-        pairs, place = np.unique(_pairs(w, size)[0], return_inverse=True)
+        pairs, place = np.unique(_pairs(w, size, mask)[0], return_inverse=True)
         rows: dict[int, dict] = {}
         for name, keys, at in (("pairs", pairs, place), ("words", words, code)):
             every, target = (np.bincount(x, minlength=len(keys)).astype("<u4") for x in (at, at[of]))
             for k, a, z in by_range(keys, bits):
-                rows.setdefault(k, {}).update({name: gaps(keys[a:z]), f"{name}_target": packed(target[a:z]), f"{name}_all": packed(every[a:z])})
-        whole = [np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8), hit.astype(np.uint8), size.astype("<i8"), words, code.astype("<u4")]
-        parts = [packed(x) for x in whole]
+                rows.setdefault(k, {}).update({name: gaps(keys[a:z], drop), f"{name}_target": packed(target[a:z]), f"{name}_all": packed(every[a:z])})
+        whole = [np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8), hit.astype(np.uint8), size.astype("<i8"), code.astype("<u4")]
+        parts = [*(packed(x) for x in whole), gaps(words, drop)]
         spoken = size > 0
         head = {
             "docs": np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts),
@@ -129,16 +129,17 @@ def _totals(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _arrow(BACK))
 
 
-def _scored(t: pa.Table, v: int, n: dict[str, int], d: dict[str, int]) -> pa.Table:
+def _scored(t: pa.Table, mask: np.uint64, drop: np.uint64, v: int, n: dict[str, int], d: dict[str, int]) -> pa.Table:
     """One chunk: its documents, scored with the totals that came back."""
     rows = sorted(t.to_pylist(), key=lambda r: r["range"])
     data, at, parts = rows[0]["docs"], 48, []
-    for length, kind in zip(np.frombuffer(data, "<i8", 6).tolist(), ("<i8", "<u1", "<u1", "<i8", "<u8", "<u4"), strict=True):
-        parts.append(unpacked(data[at : at + length], kind))
+    for length, kind in zip(np.frombuffer(data, "<i8", 6).tolist(), ("<i8", "<u1", "<u1", "<i8", "<u4", None), strict=True):
+        part = data[at : at + length]
+        parts.append(unpacked(part, kind) if kind else from_gaps(part) << drop)
         at += length
-    ids, none, hit, size, words, code = parts
+    ids, none, hit, size, code, words = parts
     hit, code = hit.astype(bool), code.astype(np.int64)
-    pair, begins = _pairs(words[code], size)
+    pair, begins = _pairs(words[code], size, mask)
     pairs, place = np.unique(pair, return_inverse=True)
     doc = np.repeat(np.arange(len(size)), size)
 
@@ -167,8 +168,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score."""
     docs = with_target(docs, target)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = range_bits(chars, RANGE_CHARS)
-    back = written(spread(_blocks(docs, bits), "range", 1 + chars // RANGE_CHARS).groupBy("range").applyInArrow(_totals, BACK), "totals", "none")
+    bits, (mask, drop) = range_bits(chars, RANGE_CHARS), key_mask(chars)
+    back = written(spread(_blocks(docs, bits, mask, drop), "range", 1 + chars // RANGE_CHARS).groupBy("range").applyInArrow(_totals, BACK), "totals", "none")
     sums = back.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n_target", "n_all", "d_target", "d_all"))).first()
     v, n, d = max(LEAST_V, sums["v"]), *({"target": sums[f"{x}_target"], "all": sums[f"{x}_all"]} for x in "nd")
-    return spread(back, "chunk", 1 + chars // (6 * CHUNK_WORDS)).groupBy("chunk").applyInArrow(lambda t: _scored(t, v, n, d), "doc_id long, n_words long, loss_target double, loss_background double, score double")
+    return spread(back, "chunk", 1 + chars // (6 * CHUNK_WORDS)).groupBy("chunk").applyInArrow(lambda t: _scored(t, mask, drop, v, n, d), "doc_id long, n_words long, loss_target double, loss_background double, score double")

@@ -1,7 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling (Ioffe 2010) over TF-IDF shingles of five words.
 
-1. Exact document frequencies of all 64-bit shingles: each chunk of documents sends its distinct shingles, sorted and packed, to
-   key ranges, whose sums return to the chunks.
+1. Document frequencies of all shingles, by 48 to 64 bits of their hashes (packed.key_mask): each chunk of documents sends its
+   distinct shingles, sorted and packed, to key ranges, whose sums return to the chunks.
 2. A weight for each shingle: its count times an inverse document frequency between 1 and 2, so that no shared shingle is
    worth less than half of a rare one.
 3. SAMPLES consistent weighted samples a document; equal texts are folded into one class by content first.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, count_in, fresh, split_join, spread, written
 from .graph import components
-from .packed import by_range, from_gaps, gaps, packed, range_bits, summed, unpacked
+from .packed import by_range, distinct, from_gaps, gaps, key_mask, packed, range_bits, summed, unpacked
 from .shingles import mixed, shingles
 
 THRESHOLD = 0.8
@@ -103,15 +103,15 @@ def _draws(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     a, z = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None], (s >> np.uint64(32)).astype(np.uint32)[:, None]
 
     def bits(k: int) -> np.ndarray:
-        x = a * low[k] + z * high[k]
-        x ^= x >> np.uint32(16)
+        """32 bits, the higher ones mixed well."""
+        x = a * low[k]
+        x += z * high[k]
+        x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
         return x
 
     one, unit = bits(0), np.float32(2.0**-24)
+    one ^= one >> np.uint32(16)
     r = np.take(gamma, one >> np.uint32(16))
     beta = (one & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
     both = ((bits(1) >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * unit
@@ -159,13 +159,13 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     ``df`` is the packed document frequencies of the distinct shingles in order, null if all are 1. docs: rid, mark, doc_id, text.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = range_bits(chars, RANGE_CHARS)
+    bits, (mask, drop) = range_bits(chars, RANGE_CHARS), key_mask(chars)
 
     def deal(frames):
         chunk = TaskContext.get().partitionId() << 32
         held, found, size = [], [], 0
         for b in batches(frames):
-            some = [np.unique(s) for s in shingles(b.column("text").to_pylist())]
+            some = [distinct(s & mask) for s in shingles(b.column("text").to_pylist())]
             held.append(b)
             found += some
             size += sum(map(len, some))
@@ -182,7 +182,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 out.write_batch(b)
         rows = [(-1 - chunk, chunk, None, None, sink.getvalue().to_pybytes())]  # a group of its own, on its way to its chunk
         key, times = np.unique(np.concatenate(found), return_counts=True)
-        rows += [(k, chunk, gaps(key[a:z]), packed(times[a:z].astype("<u4")), None) for k, a, z in by_range(key, bits)]
+        rows += [(k, chunk, gaps(key[a:z], drop), packed(times[a:z].astype("<u4")), None) for k, a, z in by_range(key, bits)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT)
 
     def totals(t: pa.Table) -> pa.Table:
@@ -197,14 +197,16 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
         rows = sorted(t.to_pylist(), key=lambda r: r["range"])
         docs = pa.ipc.open_stream(rows[0]["docs"]).read_all()
         found = shingles(docs.column("text").to_pylist())
-        key = np.unique(np.concatenate(found))
         df = np.concatenate([np.zeros(0, "<u4"), *(unpacked(r["times"], "<u4") for r in rows[1:])])
-        node, sig, dfs = [], [], []
+        df = df[np.unique(np.concatenate(found) & mask, return_inverse=True)[1]]  # of every shingle in its place
+        node, sig, dfs, at = [], [], [], 0
         for s in found:
             node.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-            own = df[np.searchsorted(key, np.unique(s))]
+            key, first, times = np.unique(s, return_index=True, return_counts=True)
+            own = df[at : at + len(s)][first]
+            at += len(s)
             dfs.append(packed(own) if (own > 1).any() else None)
-            sig.append(samples(*weighted(s, lambda _, own=own: inverse(own, n))).tobytes() if len(s) else None)
+            sig.append(samples(key, times.astype(np.float32) * inverse(own, n)).tobytes() if len(s) else None)
         new = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(dfs, pa.binary())]
         return pa.table([*(docs.column(x) for x in ("rid", "mark", "doc_id")), *new], names=["rid", "mark", "doc_id", "node", "sig", "df"])
 
@@ -293,14 +295,11 @@ class _Classes:
         return written(split_join(bands, leaders, "band", "times", bands.count()).select("u", F.col("node").alias("v")).filter("u <> v").distinct(), "groups")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """v, text, df of the classes in ``nodes`` (v, distinct)."""
+        """v, text of the classes in ``nodes`` (v, distinct)."""
         need = nodes.join(self.reps.select(F.col("node").alias("v"), F.col("head.rid").alias("rid")), "v")
-        need = need.join(self.own.select(F.col("node").alias("v"), "df"), "v")
-        if count_in(nodes, SMALL):  # then the other texts are not shuffled; a row's size is bounded by its number of blocks of df
-            keys = written(need, "need")
-            ids = F.broadcast(keys.select("v", "rid"))
-            return written(self.rows.select("rid", "text").join(ids, "rid").select("v", "text").join(keys.select("v", "df"), "v"), "texts")
-        return written(self.rows.select("rid", "text").join(need, "rid").select("v", "text", "df"), "texts")
+        if count_in(nodes, SMALL):  # then only their texts are shuffled
+            need = F.broadcast(written(need, "need"))
+        return self.rows.select("rid", "text").join(need, "rid").select("v", "text")
 
     def compared(self, cells: DataFrame, keys: list[str]) -> DataFrame:
         """Links (u, v) within cells by the whole texts. cells: keys, v, label, asks."""
@@ -315,7 +314,7 @@ class _Classes:
                 if pairs:
                     yield _links([(v[a], v[b]) for a, b in pairs])
 
-        rows = cells.join(texts, "v").select(*keys, "v", "label", "asks", "text", "df")
+        rows = cells.join(self.own.select(F.col("node").alias("v"), "df"), "v").join(texts, "v").select(*keys, "v", "label", "asks", "text", "df")
         return written(rows.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(run, "u long, v long"), "pairs")
 
     def with_leader(self, groups: DataFrame) -> DataFrame:

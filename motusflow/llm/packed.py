@@ -23,6 +23,22 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
 
 
+def key_mask(size: int) -> tuple[np.uint64, np.uint64]:
+    """The bits of a hash that are sent, the highest ones, as a mask and the number of the others.
+
+    There are 2 ** 14 times as many values as characters, 2 ** 48 at least, so that a key shares its value with another one of the
+    corpus with a probability of about 1e-5, at every size; and a sorted chunk's differences take half of the bytes of whole hashes.
+    """
+    bits = min(64, max(48, int(np.ceil(np.log2(max(size, 2)))) + 14))
+    return np.uint64((2**bits - 1) << (64 - bits)), np.uint64(64 - bits)
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which here is faster than NumPy's hash table."""
+    a = np.sort(a)
+    return a[np.concatenate([np.ones(min(len(a), 1), bool), a[1:] != a[:-1]])]
+
+
 def range_bits(size: int, each: int) -> int:
     """Ranges, as a power of two, so that each holds about ``each`` of ``size``; 64 ranges at least."""
     return max(6, int(np.ceil(np.log2(max(size / each, 1)))))
@@ -37,12 +53,13 @@ def by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(held[heads].tolist(), heads.tolist(), np.append(heads[1:], len(held)).tolist(), strict=True)
 
 
-def gaps(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, the first from 0."""
-    return packed(np.diff(keys, prepend=np.uint64(0)))
+def gaps(keys: np.ndarray, drop: np.uint64) -> bytes:
+    """Sorted keys without their ``drop`` lowest bits, as differences, the first from 0."""
+    return packed(np.diff(keys >> drop, prepend=np.uint64(0)))
 
 
 def from_gaps(data: bytes) -> np.ndarray:
+    """The keys without their lowest bits."""
     return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
 
 
