@@ -80,15 +80,17 @@ def count_in(df: DataFrame, most: int) -> bool:
 
 
 #: Keys that a split join broadcasts at most.
-HOT = 1 << 14
+HOT = 1 << 16
 
 
 def split_join(rows: DataFrame, one: DataFrame, key: str, times: str, total: int, hot: int = HOT) -> DataFrame:
     """``rows`` inner-joined on ``key`` with ``one``, which has one row a key and, as ``times``, how many of the ``total`` rows hold it.
 
     A key of more than one of ``hot`` rows (there can be no more than ``hot`` such keys) is broadcast, so its rows stay where they are;
-    the others are shuffled, and none of them fills a task. Both frames are read twice.
+    the others are shuffled, and none of them fills a task. Both frames are read twice, but for no more than ``hot`` rows in all.
     """
+    if total <= hot:
+        return rows.join(F.broadcast(one.drop(times)), key)
     often = F.col(times) * F.lit(hot) > F.lit(int(total))
     held = F.broadcast(one.filter(often).drop(times))
     rest = rows.join(F.broadcast(one.filter(often).select(key)), key, "left_anti")

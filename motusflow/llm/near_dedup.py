@@ -43,6 +43,8 @@ ESTIMATE = 0.55
 CHUNK_SHINGLES, RANGE_CHARS = 1_000_000, 12_000_000
 #: Members of a part or a side of a cell, and rows that are broadcast at most.
 BLOCK, SMALL = 1024, 500_000
+#: Leaders whose signatures are broadcast at most.
+LEADERS = 1 << 14
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[int, int], int]:
@@ -322,7 +324,7 @@ class _Classes:
         sizes = groups.groupBy("u").agg(F.count("*").alias("n"))
         own = self.own.select("node", "sig")
         leaders = written(sizes.join(own.withColumnRenamed("node", "u"), "u").select("u", "n", F.col("n").alias("times"), F.col("sig").alias("sig_u")), "leaders")
-        rows = split_join(groups, leaders, "u", "times", groups.count()).join(own.withColumnRenamed("node", "v"), "v").select("u", "v", "n", "sig_u", "sig")
+        rows = split_join(groups, leaders, "u", "times", groups.count(), LEADERS).join(own.withColumnRenamed("node", "v"), "v").select("u", "v", "n", "sig_u", "sig")
 
         def near(frames):
             for b in frames:
