@@ -26,8 +26,8 @@ from .common import split_join, written
 from .graph import components
 
 THRESHOLD = 0.9
-#: Bytes of a block, vectors of a tile within a pair of blocks, and copies of vectors that are broadcast at most.
-BLOCK_BYTES, TILE, HOT = 4_000_000, 512, 4096
+#: Bytes of a block, vectors of a tile within a pair of blocks, and bytes of vectors of many copies that are broadcast at most.
+BLOCK_BYTES, TILE, HOT_BYTES = 4_000_000, 512, 16_000_000
 #: Shares of the axes after which a bound is taken.
 STAGES = (0.25, 0.6)
 SLACK = 1e-4
@@ -183,7 +183,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     folded = written(folded.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     wide = table.schema["embedding"].dataType.elementType.simpleString() == "double"
     found = None
-    for width in sorted(r["w"] for r in folded.select(F.size("embedding").alias("w")).distinct().collect()):  # lengths, not vectors
+    widths = sorted(r["w"] for r in folded.select(F.size("embedding").alias("w")).distinct().collect())  # lengths, not vectors
+    for width in widths:
         part = folded.filter(F.size("embedding") == width)
         axes = spark.sparkContext.broadcast(principal_axes(part, width))
         linked = _linked(written(blocks(part, axes.value), "blocks"), axes, wide, threshold)
@@ -198,7 +199,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     heads = small.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("times"))
     small = split_join(small.select("rep", "n_links", "component"), heads, "component", "times", small.count())
     reps = folded.select("rep", "embedding", "times").join(small.select("rep", "n_links", "component_id"), "rep").drop("rep")
-    out = split_join(good, reps, "embedding", "times", good.count(), HOT).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = split_join(good, reps, "embedding", "times", good.count(), max(1, HOT_BYTES // (8 * max(widths, default=1)))).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     bare = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(bare).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import split_join, written
 
+#: Links of a file.
+LINKS = 50_000
+
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour. n: links."""
+    """Every larger neighbour of a node is linked to the node's smallest neighbour. n: links. No more links come out; some may be equal."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).select("u", F.least("u", "m").alias("m"), "times")
-    return split_join(both.filter("v > u"), low, "u", "times", 2 * n).select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+    return split_join(both.filter("v > u"), low, "u", "times", 2 * n).select(F.col("m").alias("u"), "v").filter("u <> v")
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
@@ -36,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if (now["n"], now["h"]) == mark or not now["n"]:
             break
         mark = (now["n"], now["h"])
-        large = written(_large_star(e, now["n"]), "links")
-        e = written(_small_star(large, now["n"]), "links")
+        parts = 8 + now["n"] // LINKS  # a round never has more links than the one before, so small graphs need not be many small files
+        large = written(_large_star(e, now["n"]).coalesce(parts), "links")
+        e = written(_small_star(large, now["n"]).coalesce(parts), "links")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
