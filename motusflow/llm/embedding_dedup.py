@@ -187,7 +187,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     for width in widths:
         part = folded.filter(F.size("embedding") == width)
         axes = spark.sparkContext.broadcast(principal_axes(part, width))
-        linked = _linked(written(blocks(part, axes.value), "blocks"), axes, wide, threshold)
+        linked = _linked(written(blocks(part, axes.value), "blocks"), part.count(), axes, wide, threshold)
         found = linked if found is None else found.union(linked)
     if found is None:
         found = spark.createDataFrame([], "rep long, n_links long, label long")
@@ -204,7 +204,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return out.union(bare).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(held: DataFrame, axes, wide: bool, threshold: float) -> DataFrame:
+def _linked(held: DataFrame, n: int, axes, wide: bool, threshold: float) -> DataFrame:
     """rep, n_links, label: for each pair of blocks, each vector with its links there and one it is connected with."""
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # unit vectors of such a cosine differ by no more on any axis
     # blocks are in order, so those that a block can reach are the next ones up to the last that begins within reach of its end,
@@ -216,8 +216,9 @@ def _linked(held: DataFrame, axes, wide: bool, threshold: float) -> DataFrame:
     pairs = spans.select(F.col("block").alias("a"), F.explode(F.sequence("place", "last")).alias("place")).join(spans.select(F.col("block").alias("z"), "place"), "place").select("a", "z")
     side = lambda x: held.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("weights").alias(f"weights_{x}"), F.col("data").alias(f"data_{x}"))
     rows = pairs.join(side("a").hint("merge"), "a").join(side("z").hint("merge"), "z")
-    # a row holds two whole blocks, so partitions are made by rows, not by the bytes Spark expects of them
-    rows = rows.repartition(max(1, min(held.count() ** 2, 10_000)), F.xxhash64("a", "z"))
+    # a row holds two whole blocks, so partitions are made by the pairs of full blocks, not by the bytes Spark expects of them
+    full = 1 + n // max(1, BLOCK_BYTES // (4 * len(axes.value)))
+    rows = rows.repartition(min(full * full, 10_000), F.xxhash64("a", "z"))
 
     def run(frames):
         for b in frames:
